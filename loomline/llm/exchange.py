@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 10 << 20
 _ROUTED = "target long, batch long, part int, payload binary"
 _SCHEMA = pa.schema([("target", pa.int64()), ("batch", pa.int64()), ("part", pa.int32()), ("payload", pa.binary())])
 
