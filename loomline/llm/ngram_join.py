@@ -10,9 +10,12 @@ most documents send nothing at all.
 
 Classes are found without making all pairs of a group of copies: equal sets are one
 set; every set is first verified against the leading set of its most shared shingles'
-lists; after joining what is linked, only pairs of *different* classes are made.
+lists, first the one with the most frequent shingles, as an original has, then one by
+chance; after joining what is linked, only pairs of *different* classes are made.
 Pairs within a class need no verification, since they can't change the classes, so no
-link between classes is lost.
+link between classes is lost.  A 256-bit parity of each set bounds the shingles in which
+two sets differ from below and drops most pairs that aren't similar enough before
+their texts meet.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .arrays import LOWER, SPACE_WORD, blocks, mix, narrow, pack, span_hashes, spans, text_buffers, unpack, windows
 from .decontam import windows_at
@@ -29,6 +32,9 @@ from .exchange import exchange, finish, landed
 GRAM, PERCENT, MAX_NEED = 4, 85, 4
 #: What verifying a pair costs, in entries of a shingle's list.
 VERIFY_COST = 16
+#: Rounds of comparing sets with the leading set of a list before pairs of classes are made.
+STARS = 2
+_BITS = ["b0", "b1", "b2", "b3"]
 #: Document frequencies are counted by the top 48 bits of a shingle's hash; a collision may make a prefix less rare, never wrong.
 _LOW_BITS = np.uint64(16)
 
@@ -71,6 +77,19 @@ def set_keys(keys: np.ndarray, place: np.ndarray, first: np.ndarray) -> list[byt
     return [both[16 * i : 16 * i + 16] if n else None for i, n in enumerate(np.diff(first).tolist())]
 
 
+def parities(keys: np.ndarray, place: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """256 bits of each set in four words; each bit is the parity of the members that fall on it."""
+    spot, full = (mix(keys ^ np.uint64(0x9A51)) >> np.uint64(56))[place], np.flatnonzero(np.diff(first))
+    out = []
+    for w in range(4):
+        bit = np.where(spot >> np.uint64(6) == w, np.left_shift(np.uint64(1), spot & np.uint64(63)), np.uint64(0))
+        words = np.zeros(len(first) - 1, np.uint64)
+        if len(full):
+            words[full] = np.bitwise_xor.reduceat(bit, first[full])
+        out.append(words.view(np.int64))
+    return out
+
+
 def _frequencies(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct keys without their low bits, place of each key in them); keys are sorted."""
     cut = (keys >> _LOW_BITS) << _LOW_BITS
@@ -111,7 +130,7 @@ def prefixes(first: np.ndarray, df: np.ndarray, percent: int) -> tuple[np.ndarra
 
 
 def profiles(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
-    """doc_id, n, set_key, need, tokens (prefix shingles of several documents) and, where there are some, the packed text."""
+    """doc_id, n, set_key, need, center (how frequent its shingles are), parity bits, tokens (prefix shingles of several documents) and, where there are some, the packed text."""
 
     def ask(rows):
         keys, place, _ = shingle_sets(rows["text"], k)
@@ -126,6 +145,7 @@ def profiles(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> D
             raise RuntimeError("a batch wasn't read alike twice")
         df, n = totals[to[place]], np.diff(first)
         row = np.repeat(np.arange(len(n)), n)
+        center = np.floor(16 * _sums(np.log2(np.maximum(df, 1)), first) / np.maximum(n, 1)).astype(np.int32)
         order = np.lexsort((place, df, row))
         df, tokens = df[order], keys[place[order]]
         length, need = prefixes(first, df, percent)
@@ -135,12 +155,12 @@ def profiles(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> D
         bodies = [packer.compress((t or "").encode()) if m else None for t, m in zip(rows["text"].to_pylist(), np.diff(ends).tolist(), strict=True)]
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens[use].view(np.int64)))
         yield pa.RecordBatch.from_arrays(
-            [rows["doc_id"], pa.array(n), pa.array(set_keys(keys, place, first), pa.binary()), pa.array(need, pa.int32()), lists, pa.array(bodies, pa.binary())],
-            names=["doc_id", "n", "set_key", "need", "tokens", "body"],
+            [rows["doc_id"], pa.array(n), pa.array(set_keys(keys, place, first), pa.binary()), pa.array(need, pa.int32()), pa.array(center), *map(pa.array, parities(keys, place, first)), lists, pa.array(bodies, pa.binary())],
+            names=["doc_id", "n", "set_key", "need", "center", *_BITS, "tokens", "body"],
         )
 
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    schema = T.StructType([slim.schema["doc_id"], *T.StructType.fromDDL("n long, set_key binary, need int, tokens array<long>, body binary").fields])
+    schema = T.StructType([slim.schema["doc_id"], *T.StructType.fromDDL("n long, set_key binary, need int, center int, b0 long, b1 long, b2 long, b3 long, tokens array<long>, body binary").fields])
     return finish(exchange(slim, "text", ask, add_counts), compute, schema)
 
 
@@ -192,6 +212,27 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
+_SIDE = ["sid", "label", "n", "need", *_BITS]
+
+
+def _side(live: DataFrame, s: str) -> DataFrame:
+    return live.select("token", *(F.col(c).alias(f"{c}_{s}") for c in _SIDE))
+
+
+def _fits(percent: int) -> Column:
+    """What a pair must meet to be verified: different classes, lengths, and a parity that lets the sets be similar."""
+    differ = sum((F.bit_count(F.col(f"{b}_l").bitwiseXOR(F.col(f"{b}_r"))) for b in _BITS[1:]), F.bit_count(F.col("b0_l").bitwiseXOR(F.col("b0_r"))))
+    length = F.least("n_l", "n_r") * 100 >= F.greatest("n_l", "n_r") * percent
+    return (F.col("label_l") != F.col("label_r")) & length & (differ * (100 + percent) <= (F.col("n_l") + F.col("n_r")) * (100 - percent))
+
+
+def _mixed(live: DataFrame, labels: DataFrame) -> DataFrame:
+    """live with the labels, of the shingles' lists that have several classes."""
+    tagged = live.drop("label").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    mixed = landed(tagged.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token"))
+    return landed(tagged.join(mixed, "token", "left_semi"))
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id reachable by links, of every row.
 
@@ -200,24 +241,26 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     rows get a row each; a null id is never the smallest unless its class has no other.
     """
     every = landed(profiles(docs, doc_id, text, k, percent))
-    some = every.where(F.size("tokens") > 0).groupBy("set_key").agg(*(F.first(c).alias(c) for c in ("n", "need", "tokens", "body")))
+    whole = ["n", "need", "center", *_BITS]
+    some = every.where(F.size("tokens") > 0).groupBy("set_key").agg(*(F.first(c).alias(c) for c in (*whole, "tokens", "body")))
     sets = landed(some.withColumn("sid", F.monotonically_increasing_id()))
 
-    lists = sets.select("sid", "n", "need", F.explode("tokens").alias("token"))
-    heads = landed(lists.groupBy("token").agg(F.min("sid").alias("head"), F.count("*").alias("size")).where("size > 1").select("token", "head"))
-    live = landed(lists.join(heads, "token"))
-    near = live.where("sid <> head").groupBy(F.col("sid").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("shared"))
-    near = near.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", "best.b")
-    links = landed(verified(near, sets, k, percent))
-    labels = components(links)
-
-    tagged = live.drop("head").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    mixed = landed(tagged.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token"))
-    open_ = landed(tagged.join(mixed, "token", "left_semi"))
-    left, right = (open_.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("sid", "n", "need", "label"))) for s in "lr")
-    fits = "sid_l < sid_r AND label_l <> label_r AND least(n_l, n_r) * 100 >= greatest(n_l, n_r) * " + str(percent)
-    across = left.join(right, "token").where(fits).groupBy(F.col("sid_l").alias("a"), F.col("sid_r").alias("b"))
-    across = across.agg(F.count("*").alias("shared"), F.least(F.first("need_l"), F.first("need_r")).alias("need")).where("shared >= need").select("a", "b")
+    lists = sets.select("sid", *whole, F.explode("tokens").alias("token"))
+    shared = landed(lists.groupBy("token").agg(F.count("*").alias("size")).where("size > 1").select("token"))
+    live = landed(lists.join(shared, "token", "left_semi")).withColumn("label", F.col("sid"))
+    links, labels = None, None
+    for turn in range(STARS):
+        rank = F.col("center").cast("long") if turn == 0 else F.xxhash64("sid", F.lit(turn))
+        heads = landed(live.groupBy("token").agg(F.max(F.struct(rank.alias("rank"), *_SIDE)).alias("h")).select("token", *(F.col(f"h.{c}").alias(f"{c}_r") for c in _SIDE)))
+        near = _side(live, "l").join(heads, "token").where(_fits(percent)).groupBy(F.col("sid_l").alias("a"), F.col("sid_r").alias("b")).agg(F.count("*").alias("shared"))
+        near = near.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", "best.b")
+        more = landed(verified(near, sets, k, percent))
+        links = more if links is None else links.union(more)
+        labels = components(links)
+        live = _mixed(live, labels)
+
+    across = _side(live, "l").join(_side(live, "r"), "token").where(_fits(percent)).where("sid_l < sid_r").groupBy(F.col("sid_l").alias("a"), F.col("sid_r").alias("b"))
+    across = across.agg(F.count("*").alias("shared"), F.first(F.least("need_l", "need_r")).alias("need")).where("shared >= need").select("a", "b")
     more = landed(verified(across, sets, k, percent))
     if not more.isEmpty():
         labels = components(links.union(more))
