@@ -258,7 +258,7 @@ arm_b AS (SELECT lang, trace_id, 1 AS phase FROM lead UNION ALL SELECT lang, tra
 
 
 def _arm(spark, d, arm):
-    pool = _pool(spark, d)
+    pool = _pool(spark, d).drop("text").persist()
     budgets = _budgets(pool)
     if arm == "random":
         return S.greedy_fill(pool.withColumn("o", S.hash_order(F.col("trace_id"), "random")), ["o", "trace_id"], "cost", budgets, "lang").drop("o")
