@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, line_dedup, ngram_join, quality
+from . import decontam, line_dedup, ngram_join, quality, url_filter
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACE = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
@@ -83,4 +83,37 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, u.b FROM
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(b) FROM r WHERE r.a = d.doc_id) AS component_id FROM d LEFT JOIN n ON d.doc_id = n.doc_id
 """
 
-ORACLE_SQL = {"op3_line_dedup": OP3, "op5_decontamination": OP5, "op7_warc": OP7, "op9_quality": OP9, "op10_ngram_join": OP10}
+
+
+def _op4() -> str:
+    size, bin_, last = 40, url_filter._BIN, url_filter.ORDER + 1
+    fits = lambda r: f"(host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}')"
+    rules = sorted(url_filter.RULES, key=lambda r: -len(r[0]))
+    pick = lambda i: "CASE " + " ".join(f"WHEN {fits(r[0])} THEN '{r[i]}'" for r in rules) + " END"
+    sql = f"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+v AS (SELECT *, {pick(0)} AS rule, {pick(1)} AS label, ('0x' || substr(sha256(url), 1, 2))::INT % 5 = 0 AS held,
+    '^^^' || regexp_replace(regexp_replace({_low("regexp_replace(url, '(?s)^.*?://', '')")}, '[0-9]', '0', 'g'), '[^a-z0{url_filter._MARKS}]', '~', 'g') || '$' AS signs FROM u),
+tr AS (SELECT label, substr(signs, i, {last}) AS gram FROM (SELECT label, signs, unnest(range(1, length(signs) - {last - 2})) AS i FROM v WHERE label IS NOT NULL AND NOT held)),
+asked AS (SELECT url, any_value(signs) AS signs, any_value(label) AS label FROM v WHERE label IS NULL OR held GROUP BY url),
+ag AS (SELECT url, label, substr(signs, i, {last}) AS gram FROM (SELECT url, label, signs, unnest(range(1, length(signs) - {last - 2})) AS i FROM asked)),
+m0 AS (SELECT DISTINCT gram, 1.0::DOUBLE / {size} AS pa, 1.0::DOUBLE / {size} AS pb FROM ag)"""
+    for k in range(last):
+        sql += f""",
+g{k} AS (SELECT substr(gram, {last - k}, {k + 1}) AS g, CAST(count(*) FILTER (label = 'allow') AS DOUBLE) AS a, CAST(count(*) FILTER (label = 'block') AS DOUBLE) AS b FROM tr GROUP BY 1),
+c{k} AS (SELECT substr(g, 1, {k}) AS c, sum(a) AS na, sum(b) AS nb, CAST(count(*) FILTER (a > 0) AS DOUBLE) AS ta, CAST(count(*) FILTER (b > 0) AS DOUBLE) AS tb FROM g{k} GROUP BY 1),
+m{k + 1} AS (SELECT gram, CASE WHEN coalesce(na, 0) + coalesce(ta, 0) > 0 THEN (coalesce(a, 0) + ta * pa) / (na + ta) ELSE pa END AS pa, CASE WHEN coalesce(nb, 0) + coalesce(tb, 0) > 0 THEN (coalesce(b, 0) + tb * pb) / (nb + tb) ELSE pb END AS pb
+  FROM m{k} LEFT JOIN g{k} ON substr(gram, {last - k}, {k + 1}) = g LEFT JOIN c{k} ON substr(gram, {last - k}, {k}) = c)"""
+    return sql + f""",
+sc AS (SELECT url, label, CAST(sum(CAST(ln(pa) - ln(pb) AS DECIMAL(28, 12))) AS DOUBLE) / count(*) AS score FROM ag JOIN m{last} USING (gram) GROUP BY url, label),
+bi AS (SELECT label, CAST(greatest(-200, least(200, floor(score / {bin_}))) AS INT) AS b FROM sc WHERE label IS NOT NULL),
+ed AS (SELECT e, (SELECT count(*) FILTER (label = 'allow' AND b < e) / CAST(count(*) FILTER (label = 'allow') AS DOUBLE) + count(*) FILTER (label = 'block' AND b >= e) / CAST(count(*) FILTER (label = 'block') AS DOUBLE) FROM bi) AS wrong FROM (SELECT unnest(range(-200, 202)) AS e)),
+be AS (SELECT list(e ORDER BY e) AS es FROM ed WHERE wrong <= (SELECT min(wrong) FROM ed) + 1e-12),
+lim AS (SELECT es[len(es) // 2 + 1] * {bin_} AS at_ FROM be)
+SELECT page_id, host, path, rule, coalesce(v.label, CASE WHEN sc.score >= (SELECT at_ FROM lim) THEN 'allow' ELSE 'block' END) AS verdict
+FROM v LEFT JOIN sc ON v.label IS NULL AND sc.label IS NULL AND v.url = sc.url
+"""
+
+
+ORACLE_SQL = {"op3_line_dedup": OP3, "op4_url_filter": _op4(), "op5_decontamination": OP5, "op7_warc": OP7, "op9_quality": OP9, "op10_ngram_join": OP10}

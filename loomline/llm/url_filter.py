@@ -104,7 +104,8 @@ def threshold(scored: DataFrame) -> float:
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict and score (null where a rule fits) of every row.
 
-    Labelled URLs whose crc32 is divisible by 5 calibrate, the others train.  Without
+    Labelled URLs calibrate if the first byte of their SHA-256 is divisible by 5; the
+    others train.  Without
     URLs of both labels the score is 0 and such URLs are allowed; a null URL is judged
     as an empty one.  Rows that share id and URL get equal results.
     """
@@ -113,7 +114,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, page_id: str =
     rule, label = fitting_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "label": label})
     used = rows.select("url", "label", signs(F.col("url")).alias("signs"))
-    held = (F.crc32("url") % 5) == 0
+    held = F.conv(F.substring(F.sha2("url", 256), 1, 2), 16, 10).cast("int") % 5 == 0
     train = used.where(F.col("label").isNotNull() & ~held)
     found = train.groupBy("label").count().collect()
     if len(found) < 2:
