@@ -8,6 +8,7 @@ per-row Python.  A null text has equal offsets and so counts as empty.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 
@@ -114,6 +115,39 @@ def windows(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     return at, mix(h[at] + np.uint64(k))
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values in order, place of each value in them), by hashing; for values of which many are equal."""
+    codes, found = pd.factorize(values)
+    order = np.argsort(found)
+    rank = np.empty(len(found), np.int64)
+    rank[order] = np.arange(len(found))
+    return found[order], rank[codes]
+
+
+def sorted_set(values: np.ndarray) -> np.ndarray:
+    """Distinct values in order, by sorting."""
+    values = np.sort(values)
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return values[new]
+
+
+#: Weights from here on count as equal in ranked(), the same in every batch.
+TOP_WEIGHT = (1 << 20) - 1
+
+
+def ranked(group: np.ndarray, weight: np.ndarray, place: np.ndarray, n_places: int) -> np.ndarray:
+    """place in the order of (group, weight up to TOP_WEIGHT, place).
+
+    Keys are sorted by value, which is several times as fast as sorting places.
+    """
+    low, high = max(1, int(n_places).bit_length()), max(1, int(group.max(initial=0)).bit_length())
+    weight = np.minimum(weight, TOP_WEIGHT)
+    if low + high + 20 > 63:
+        return place[np.lexsort((place, weight, group))]
+    return np.sort(group << (low + 20) | weight << low | place) & ((1 << low) - 1)
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Integer arrays as zstd over byte planes; each array is led by its length and width."""
     out = []

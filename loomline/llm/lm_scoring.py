@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .arrays import LOWER, SPACE_WORD, blocks, mix, narrow, pack, span_hashes, spans, text_buffers, unpack
+from .arrays import LOWER, SPACE_WORD, blocks, distinct, mix, narrow, pack, span_hashes, spans, text_buffers, unpack
 from .exchange import exchange, finish
 
 BUCKETS, STEPS, ROUNDS = 25, 64, 60
@@ -50,8 +50,11 @@ class Tokens:
         before[self.first[:-1]] = _START
         word = mix(tokens) | np.uint64(1)
         pair = mix(before * np.uint64(0xD6E8FEB86659FD93) + mix(tokens)) & ~np.uint64(1)
-        self.keys, place = np.unique(np.r_[word, pair], return_inverse=True)
-        self.word, self.pair = place[: len(tokens)], place[len(tokens) :]
+        words, word = distinct(word)
+        pairs, pair = np.unique(pair, return_inverse=True)
+        self.keys = np.sort(np.r_[words, pairs])
+        odd = (self.keys & np.uint64(1)) == 1
+        self.word, self.pair = np.flatnonzero(odd)[word], np.flatnonzero(~odd)[pair]
         self.row = np.repeat(np.arange(len(size)), size)
 
     def context(self, counts: np.ndarray) -> np.ndarray:
@@ -80,7 +83,7 @@ def _ask(rows):
 def _answer(slices):
     """Global counts (kept, tuned) for each slice; the first also has the range's sums for words: types, tokens, kept tokens."""
     parts = [unpack(x) for x in slices]
-    keys, place = np.unique(np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), return_inverse=True)
+    keys, place = distinct(np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]))
     kept, tuned = (np.bincount(place, np.concatenate([p[i] for p in parts]).astype(np.float64)).astype(np.int64) for i in (1, 2))
     word = (keys & np.uint64(1)) == 1
     sums = np.array([(word & (kept + tuned > 0)).sum(), (kept + tuned)[word].sum(), kept[word].sum()], np.uint64)

@@ -25,7 +25,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .arrays import LOWER, SPACE_WORD, blocks, mix, narrow, pack, span_hashes, spans, text_buffers, unpack, windows
+from .arrays import LOWER, SPACE_WORD, blocks, mix, narrow, pack, ranked, sorted_set, span_hashes, spans, text_buffers, unpack, windows
 from .decontam import windows_at
 from .exchange import exchange, finish, landed
 
@@ -60,7 +60,7 @@ def shingle_sets(column: pa.Array, k: int = GRAM) -> tuple[np.ndarray, np.ndarra
             found.append(windows_at(hashes, first[short], m))
     row, keys = np.concatenate(rows), np.concatenate(found)
     keys, place = np.unique(keys, return_inverse=True)
-    pairs = np.unique(row * max(1, len(keys)) + place)
+    pairs = sorted_set(row * max(1, len(keys)) + place)
     row, place = np.divmod(pairs, max(1, len(keys)))
     return keys, place, np.searchsorted(row, np.arange(len(offsets)))
 
@@ -146,8 +146,8 @@ def profiles(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> D
         df, n = totals[to[place]], np.diff(first)
         row = np.repeat(np.arange(len(n)), n)
         center = np.floor(16 * _sums(np.log2(np.maximum(df, 1)), first) / np.maximum(n, 1)).astype(np.int32)
-        order = np.lexsort((place, df, row))
-        df, tokens = df[order], keys[place[order]]
+        place = ranked(row, df, place, len(keys))
+        df, tokens = totals[to[place]], keys[place]
         length, need = prefixes(first, df, percent)
         use = (np.arange(len(df)) - np.repeat(first[:-1], n) < np.repeat(length, n)) & (df > 1)
         ends = np.r_[0, np.cumsum(use)][first]

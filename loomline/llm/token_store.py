@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .arrays import blocks, gather, text_buffers
+from .arrays import blocks, distinct, gather, text_buffers
 from .bpe import words_of
 from .exchange import input_bytes, shared_dir, stable
 from .files import read_file, write_file
@@ -158,7 +158,9 @@ def token_ids(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all rows, first id of each row and the end) by the tokenizer file; each distinct pre-token is encoded once in a batch."""
     tokenizer, cache = _tokenizer(path)
     data, starts, ends, first, hashes = words_of(column)
-    _, at, place = np.unique(hashes, return_index=True, return_inverse=True)
+    keys, place = distinct(hashes)
+    at = np.empty(len(keys), np.int64)
+    at[place] = np.arange(len(place))
     raw, lengths = gather(data, starts[at], (ends - starts)[at]).tobytes(), (ends - starts)[at].tolist()
     words, p = [], 0
     for n in lengths:
