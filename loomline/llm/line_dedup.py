@@ -8,11 +8,12 @@ their lengths, the word's places in both orders, and a 64-bit parity of their wo
 allow it; what remains is verified on the words themselves.  A line that matches an
 earlier one is removed; lines are ordered by document id and place.
 
-The rare words' lists are short.  A list of more than HOT lines, as of a passage with
-many variants, is first compared with its earliest line only; just those lines that
-this doesn't remove are compared with all earlier ones.  So copies make no pairs among
-each other, and since a removed line stays a possible match for later ones, no match
-is lost.
+The rare words' lists are short and compared whole.  A line whose list has several
+candidates is first verified against the earliest; a list of more than HOT lines, as
+of a passage with many variants, is first compared with its earliest line only.  Just
+those lines that this doesn't remove are then compared with all earlier ones.  So
+copies make no pairs among each other, and since a removed line stays a possible match
+for later ones, no match is lost.
 """
 
 from __future__ import annotations
@@ -21,12 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .arrays import LOWER, SPACE_WORD, blocks, mix, narrow, pack, span_hashes, spans, text_buffers, unpack
+from .arrays import LOWER, SPACE_WORD, blocks, distinct, mix, narrow, pack, ranked, sorted_set, span_hashes, spans, text_buffers, unpack
 from .exchange import exchange, finish, landed, stable
 
 #: Lines of fewer different words are left alone.
-MIN_WORDS, PERCENT = 5, 80
-HOT = 64
+MIN_WORDS, PERCENT = 10, 80
+#: Lists of more lines are compared with their earliest line first; of shorter ones a line's FIRST earliest candidates go first.
+HOT, FIRST = 256, 4
 #: Candidate lines are marked in so many bits, so that a second scan returns few others.
 _MARKS = 1 << 20
 _NULL_ID = np.int64(-(1 << 63))
@@ -56,9 +58,9 @@ class Lines:
         new[1:] = (row[1:] != row[:-1]) | (line[1:] != line[:-1])
         at = np.flatnonzero(new)
         self.words = np.bincount(row[at], minlength=len(offsets) - 1)
-        self.keys, place = np.unique(words, return_inverse=True)
+        self.keys, place = distinct(words)
         scale = max(1, len(self.keys))
-        which, place = np.divmod(np.unique((np.cumsum(new) - 1) * scale + place), scale)
+        which, place = np.divmod(sorted_set((np.cumsum(new) - 1) * scale + place), scale)
         size = np.bincount(which, minlength=len(at))
         keep = size >= min_words
         self.place, self.row, self.line = place[keep[which]], row[at[keep]], line[at[keep]]
@@ -113,7 +115,7 @@ def _rows(docs: DataFrame, min_words: int, percent: int) -> DataFrame:
         counts, line = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (1, 4))
         d, th = (np.concatenate([p[i] for p in parts]).view(np.int64) for i in (2, 3))
         sets = np.flatnonzero((keys & np.uint64(1)) == 0)
-        _, place = np.unique(keys, return_inverse=True)
+        _, place = distinct(keys)
         totals = np.bincount(place, counts.astype(np.float64)).astype(np.int64)[place]
         order = sets[np.lexsort((line[sets], th[sets], d[sets], keys[sets]))]
         lead = np.zeros(len(keys), bool)
@@ -126,7 +128,7 @@ def _rows(docs: DataFrame, min_words: int, percent: int) -> DataFrame:
         return [pack(narrow(totals[e - len(p[0]) : e]), lead[e - len(p[0]) : e].astype(np.uint8)) for p, e in zip(parts, ends, strict=True)]
 
     def compute(rows, replies):
-        lines, keys, _, place, sort = asked(rows)
+        lines, keys, _, lead_at, sort = asked(rows)
         got = [unpack(x) for x in replies]
         totals, lead = (np.concatenate([np.zeros(0, np.int64), *(g[i] for g in got)]).astype(np.int64) for i in (0, 1))
         if len(totals) != len(keys):
@@ -139,17 +141,17 @@ def _rows(docs: DataFrame, min_words: int, percent: int) -> DataFrame:
         sets = sets[np.argsort(keys[sets])]
         mine = sets[np.searchsorted(keys[sets], lines.key)] if len(sets) else np.zeros(0, np.int64)
         d, th, line = _places(rows, lines)
-        leads = (lead[mine] == 1) & (place[0][mine] == d) & (place[1][mine] == th) & (place[2][mine] == line)
+        leads = (lead[mine] == 1) & (lead_at[0][mine] == d) & (lead_at[1][mine] == th) & (lead_at[2][mine] == line)
 
         n, which = lines.size, np.repeat(np.arange(len(lines.size)), lines.size)
-        order = np.lexsort((lines.place, df[lines.place], which))
-        at = np.arange(len(order)) - np.repeat(lines.first[:-1], n)
-        use = (at < np.repeat(n - (n * percent + 99) // 100 + 1, n)) & (df[lines.place[order]] > 1) & np.repeat(leads, n)
-        which, at, token = which[use], at[use], lines.keys[lines.place[order[use]]]
+        place = ranked(which, df[lines.place], lines.place, len(lines.keys))
+        at = np.arange(len(place)) - np.repeat(lines.first[:-1], n)
+        use = (at < np.repeat(n - (n * percent + 99) // 100 + 1, n)) & (df[place] > 1) & np.repeat(leads, n)
+        which, at, token = which[use], at[use], lines.keys[place[use]]
         total = rows.num_rows
         posts = pa.StructArray.from_arrays(
-            [pa.array(token.view(np.int64)), pa.array(lines.line[which], pa.int32()), pa.array(n[which], pa.int32()), pa.array(at, pa.int32()), pa.array(lines.parity()[which].view(np.int64))],
-            ["token", "line", "n", "at", "bits"],
+            [pa.array(token.view(np.int64)), pa.array(lines.line[which], pa.int32()), pa.array(n[which], pa.int32()), pa.array(at, pa.int32()), pa.array(lines.parity()[which].view(np.int64)), pa.array(df[place[use]])],
+            ["token", "line", "n", "at", "bits", "df"],
         )
         ends = np.searchsorted(lines.row[which], np.arange(total + 1))
         gone = np.flatnonzero(~leads)
@@ -159,7 +161,7 @@ def _rows(docs: DataFrame, min_words: int, percent: int) -> DataFrame:
             names=["doc_id", "d", "th", "n_lines", "removed", "posts"],
         )
 
-    rest = "d long, th long, n_lines long, removed array<int>, posts array<struct<token:long,line:int,n:int,at:int,bits:long>>"
+    rest = "d long, th long, n_lines long, removed array<int>, posts array<struct<token:long,line:int,n:int,at:int,bits:long,df:long>>"
     return finish(exchange(docs, "text", ask, answer), compute, T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(rest).fields]))
 
 
@@ -174,12 +176,63 @@ def _fits(percent: int) -> Column:
 
 
 _PLACE = ("d", "th", "line")
+_PAIR = [f"{c}_{s}" for s in "lr" for c in _PLACE]
 
 
 def _side(posts: DataFrame, s: str) -> DataFrame:
     return posts.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("d", "th", "line", "n", "at", "bits")))
 
 
+def _short_lists(posts: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of l, the earlier, and r within the lists of posts, which are short; some: whether r has more than are given.
+
+    A task has many whole lists.  They're sorted by place and compared at every
+    distance, some thousand lines at a time.
+    """
+
+    def close(token, d, th, line, n, at, bits):
+        found = []
+        for step in range(1, len(token)):
+            i = np.flatnonzero(token[step:] == token[:-step])
+            if not len(i):
+                break
+            j = i + step
+            least = (percent * (n[i] + n[j]) + 99 + percent) // (100 + percent)
+            ok = np.minimum(n[i] - at[i], n[j] - at[j]) >= least
+            ok &= np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent
+            ok &= (d[i] != d[j]) | (th[i] != th[j]) | (line[i] != line[j])
+            i, j, least = i[ok], j[ok], least[ok]
+            ok = np.bitwise_count(bits[i] ^ bits[j]) <= n[i] + n[j] - 2 * least
+            found.append(np.stack([j[ok], i[ok]]))
+        j, i = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
+        order = np.lexsort((i, j))
+        j, i = j[order], i[order]
+        nth = np.arange(len(j)) - np.searchsorted(j, j)
+        some = np.searchsorted(j, j, "right") - np.searchsorted(j, j) > FIRST
+        i, j, some = i[nth < FIRST], j[nth < FIRST], some[nth < FIRST]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (d[i], th[i], line[i], d[j], th[j], line[j], some)], names=[*_PAIR, "some"])
+
+    def run(stream):
+        held = [b for b in stream if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        token, d, th, line, n, at, bits = (rows[c].to_numpy() for c in ("token", "d", "th", "line", "n", "at", "bits"))
+        order = np.lexsort((line, th, d, token))
+        token = token[order]
+        new = np.r_[np.flatnonzero(np.r_[True, token[1:] != token[:-1]]), len(token)]
+        a = 0
+        while a < len(token):
+            b = int(new[np.searchsorted(new, min(a + 20_000, len(token)), "left")])
+            part = order[a:b]
+            yield close(token[a:b], d[part], th[part], line[part], n[part].astype(np.int64), at[part].astype(np.int64), bits[part].view(np.uint64))
+            a = b
+
+    parts = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slim = posts.select("token", "d", "th", "line", "n", "at", "bits").repartition(parts, "token")
+    return slim.mapInArrow(run, "d_l long, th_l long, line_l int, d_r long, th_r long, line_r int, some boolean")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, min_words: int, percent: int) -> DataFrame:
     """d, th and line of the later lines of those pairs that are as similar as asked."""
     pairs = landed(pairs)
@@ -223,18 +276,24 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words:
     docs = stable(_sources(docs, doc_id, text))
     rows = landed(_rows(docs, min_words, percent))
     posts = rows.select("d", "th", F.explode("posts").alias("p")).select("d", "th", "p.*")
-    often = landed(posts.groupBy("token").agg(F.count("*").alias("n_posts")).where(F.col("n_posts") > hot).select("token"))
+    # A list is no longer than its word's frequency, so only frequent words' lists need to be counted.
+    often = landed(posts.where(F.col("df") > hot).groupBy("token").agg(F.count("*").alias("n_posts")).where(F.col("n_posts") > hot).select("token"))
     rare = posts.join(often, "token", "left_anti")
-    pairs = ["d_l", "th_l", "line_l", "d_r", "th_r", "line_r"]
-    cold = _side(rare, "l").join(_side(rare, "r"), "token").where(_fits(percent)).select(*pairs)
+    cold = landed(_short_lists(rare, percent).distinct())
 
-    thick = landed(posts.join(often, "token", "left_semi"))
+    thick = landed(posts.where(F.col("df") > hot).join(often, "token", "left_semi"))
     head = F.min(F.struct("d", "th", "line", "n", "at", "bits")).alias("h")
     heads = landed(thick.groupBy("token").agg(head).select("token", *(F.col(f"h.{c}").alias(f"{c}_l") for c in ("d", "th", "line", "n", "at", "bits"))))
-    star = heads.join(_side(thick, "r"), "token").where(_fits(percent)).select(*pairs)
-    near = landed(_verified(cold.union(star).distinct(), docs, min_words, percent))
-    left = landed(thick.join(near, list(_PLACE), "left_anti"))
-    more = _side(thick, "l").join(_side(left, "r"), "token").where(_fits(percent)).select(*pairs).distinct()
+    star = heads.join(_side(thick, "r"), "token").where(_fits(percent)).select(*_PAIR)
+    near = landed(_verified(cold.select(*_PAIR).union(star).distinct(), docs, min_words, percent))
+
+    left = thick.join(near, list(_PLACE), "left_anti")
+    some = landed(cold.where("some").select(*(F.col(f"{c}_r").alias(c) for c in _PLACE)).distinct().join(near, list(_PLACE), "left_anti"))
+    if not some.isEmpty():
+        left = left.unionByName(rare.join(some, list(_PLACE), "left_semi").select(*left.columns))
+    left = landed(left)
+    asked = landed(left.select("token").distinct())
+    more = _side(posts.join(asked, "token", "left_semi"), "l").join(_side(left, "r"), "token").where(_fits(percent)).select(*_PAIR).distinct()
     near = near.union(_verified(more, docs, min_words, percent)).distinct()
     near = near.groupBy("d", "th").agg(F.collect_list("line").alias("near"))
     out = rows.drop("posts").join(near, ["d", "th"], "left")

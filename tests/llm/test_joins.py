@@ -61,7 +61,7 @@ def test_line_dedup(spark, awkward, copies, which):  # noqa: F811
 def test_line_dedup_texts(spark):
     line = "the same long line of seven words"
     docs = [(2, f"{line}\nown words here that nobody else has"), (1, f"first\n{line}"), (3, "the same long line of seven words today"), (4, None), (4, "a b\na b")]
-    out = {(r["doc_id"], r["text"]) for r in line_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    out = {(r["doc_id"], r["text"]) for r in line_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string"), min_words=5).collect()}
     assert out == {(2, "own words here that nobody else has"), (1, f"first\n{line}"), (3, ""), (4, None), (4, "a b\na b")}
 
 
