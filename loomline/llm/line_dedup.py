@@ -28,9 +28,11 @@ from .exchange import exchange, finish, landed, stable
 #: Lines of fewer different words are left alone.
 MIN_WORDS, PERCENT = 10, 80
 #: Lists of more lines are compared with their earliest line first; of shorter ones a line's FIRST earliest candidates go first.
-HOT, FIRST = 256, 4
+HOT, FIRST = 1024, 4
 #: Candidate lines are marked in so many bits, so that a second scan returns few others.
 _MARKS = 1 << 20
+#: Lists are told apart by the top 40 bits of a word's hash; two words in a list make candidates only.
+_LIST_BITS = np.uint64(24)
 _NULL_ID = np.int64(-(1 << 63))
 
 
@@ -81,10 +83,17 @@ def _places(rows: pa.RecordBatch, lines: Lines) -> tuple[np.ndarray, np.ndarray,
     return rows["d"].to_numpy()[lines.row], rows["th"].to_numpy()[lines.row], lines.line
 
 
-def _sources(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, text, d (the id, the least number for null) and th (a hash of the text, which tells rows of one id apart)."""
+def _keys(docs: DataFrame, doc_id: str, text: str) -> tuple[Column, Column]:
+    """(the id, the least number for null; what tells rows of one id apart: a hash of the text, or 0 if no id repeats)."""
     d = F.coalesce(F.col(doc_id).cast("long"), F.lit(int(_NULL_ID)))
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), d.alias("d"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"))
+    repeats = not docs.select(d.alias("d")).groupBy("d").count().where("count > 1").isEmpty()
+    return d, F.xxhash64(F.coalesce(F.col(text), F.lit(""))) if repeats else F.lit(0).cast("long")
+
+
+def _sources(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, text, and d and th of _keys()."""
+    d, th = _keys(docs, doc_id, text)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), d.alias("d"), th.alias("th"))
 
 
 def _rows(docs: DataFrame, min_words: int, percent: int) -> DataFrame:
@@ -147,7 +156,7 @@ def _rows(docs: DataFrame, min_words: int, percent: int) -> DataFrame:
         place = ranked(which, df[lines.place], lines.place, len(lines.keys))
         at = np.arange(len(place)) - np.repeat(lines.first[:-1], n)
         use = (at < np.repeat(n - (n * percent + 99) // 100 + 1, n)) & (df[place] > 1) & np.repeat(leads, n)
-        which, at, token = which[use], at[use], lines.keys[place[use]]
+        which, at, token = which[use], at[use], (lines.keys >> _LIST_BITS)[place[use]]
         total = rows.num_rows
         posts = pa.StructArray.from_arrays(
             [pa.array(token.view(np.int64)), pa.array(lines.line[which], pa.int32()), pa.array(n[which], pa.int32()), pa.array(at, pa.int32()), pa.array(lines.parity()[which].view(np.int64)), pa.array(df[place[use]])],
@@ -236,7 +245,7 @@ def _short_lists(posts: DataFrame, percent: int) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, min_words: int, percent: int) -> DataFrame:
     """d, th and line of the later lines of those pairs that are as similar as asked."""
     pairs = landed(pairs)
-    mark = lambda s: F.col(f"th_{s}").bitwiseXOR(F.col(f"line_{s}").cast("long") * 40503).bitwiseAND(_MARKS - 1)
+    mark = lambda s: F.col(f"th_{s}").bitwiseXOR(F.col(f"d_{s}")).bitwiseXOR(F.col(f"line_{s}").cast("long") * 40503).bitwiseAND(_MARKS - 1)
     marks = np.zeros(_MARKS, bool)
     found = pairs.select(F.explode(F.array(mark("l"), mark("r"))).alias("m")).distinct().toPandas()["m"].to_numpy()
     marks[found.astype(np.int64)] = True
@@ -250,7 +259,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, min_words: int, percent: int) -
                 piece = rows.slice(a, b - a)
                 lines = Lines(piece["text"], min_words)
                 d, th, line = _places(piece, lines)
-                keep = np.flatnonzero(wanted[(th ^ (line * 40503)) & (_MARKS - 1)])
+                keep = np.flatnonzero(wanted[(th ^ d ^ (line * 40503)) & (_MARKS - 1)])
                 sizes = lines.size[keep]
                 use = np.concatenate([np.zeros(0, np.int64), *(lines.place[lines.first[k] : lines.first[k + 1]] for k in keep.tolist())])
                 sets = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(lines.keys[use].view(np.int64)))
@@ -305,8 +314,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options
     """docs without the removed lines; a text that had words and lost all of them is empty."""
     found = find(docs, doc_id, text, **options).where("n_removed > 0").groupBy("d", "th").agg(F.first("removed").alias("__removed__"))
     found = found.select(F.col("d").alias("__fd__"), F.col("th").alias("__fth__"), "__removed__")
-    d = F.coalesce(F.col(doc_id).cast("long"), F.lit(int(_NULL_ID)))
-    th = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    d, th = _keys(docs, doc_id, text)
     out = docs.join(found, (d == F.col("__fd__")) & (th == F.col("__fth__")), "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("__removed__", i)), "\n")
     return out.withColumn(text, F.when(F.col("__removed__").isNull(), F.col(text)).otherwise(kept)).drop("__fd__", "__fth__", "__removed__")
