@@ -33,7 +33,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = ngram_join.classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = first.select(F.col("doc_id").alias("first_id")).distinct()
     kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    return kept.withColumn("__text__", F.xxhash64("text")).dropDuplicates(["doc_id", "__text__"]).select(*docs.columns)
+    named = kept.withColumn("__text__", F.xxhash64("text"))
+    if not docs.groupBy("doc_id", F.xxhash64("text").alias("t")).count().where("count > 1").isEmpty():
+        named = named.dropDuplicates(["doc_id", "__text__"])
+    return named.select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
