@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .calls import compact
+from .calls import compact, deep_value
 
 # Content caps in the order they're tried, and the marks of the prompt format.
 TASK_CAPS = (256, 192, 128, 64, 32, 0)
@@ -58,6 +58,13 @@ def record(message: dict) -> dict:
     return {"role": message.get("role") or "unknown"} | {k: message[k] for k in ("name", "content", "tool_calls") if message.get(k)}
 
 
+def plain(message: dict) -> dict:
+    """A message whose calls are canonical: those with a name, and their arguments decoded."""
+    named = [c["function"] for c in message.get("tool_calls") or [] if c and c.get("function") and c["function"].get("name")]
+    calls = [{"name": f["name"], "arguments": deep_value(f["arguments"] if f.get("arguments") is not None else "{}")} for f in named]
+    return {k: v for k, v in message.items() if k != "tool_calls"} | ({"tool_calls": calls} if calls else {})
+
+
 class Prompt:
     """The prompt of some earlier messages within a cap, and what it kept; text is None if the policy is missing or doesn't fit."""
 
@@ -116,6 +123,15 @@ class Prompt:
         self.text, self.kept = whole(recent)
 
 
+def _dict(value):
+    """Nested rows, dicts and arrays of Arrow as plain Python."""
+    if hasattr(value, "asDict"):
+        return value.asDict(recursive=True)
+    if isinstance(value, dict):
+        return {k: _dict(v) for k, v in value.items()}
+    return [_dict(v) for v in value] if hasattr(value, "__iter__") and not isinstance(value, str) else value
+
+
 PROMPT_FIELDS = "prompt string, prompt_tokens int, history_messages_total int, history_messages_retained int, history_truncated boolean, task_anchor_retained boolean"
 
 
@@ -132,7 +148,7 @@ def structured_prompts(examples: DataFrame, cap: int, tokenizer: Tokenizer = CHA
         for rows in batches:
             built = []
             for messages in rows["messages"]:
-                p = Prompt([dict(m) for m in messages], cap, tokenizer)
+                p = Prompt([plain(_dict(m)) for m in messages], cap, tokenizer)
                 if p.text is None and strict:
                     raise ValueError("no system policy" if not p.policy else f"the policy doesn't fit in {cap} tokens")
                 size = None if p.text is None else tokenizer.size(p.text)
