@@ -29,7 +29,7 @@ from .exchange import exchange, finish, landed, stable
 MIN_WORDS, PERCENT = 10, 80
 #: Lists of more lines are compared with their earliest line first; of shorter ones a line's FIRST earliest candidates go first.
 HOT, FIRST = 1024, 4
-#: Candidate lines are marked in so many bits, so that a second scan returns few others.
+#: Candidate lines, and documents that have some, are marked in so many bits each, so that a second scan reads and returns few others.
 _MARKS = 1 << 20
 #: Lists are told apart by the top 40 bits of a word's hash; two words in a list make candidates only.
 _LIST_BITS = np.uint64(24)
@@ -199,19 +199,20 @@ def _short_lists(posts: DataFrame, percent: int) -> DataFrame:
     distance, some thousand lines at a time.
     """
 
-    def close(token, d, th, line, n, at, bits):
+    def close(token, d, th, line, n, room, bits):
         found = []
         for step in range(1, len(token)):
-            i = np.flatnonzero(token[step:] == token[:-step])
-            if not len(i):
+            same = token[step:] == token[:-step]
+            if not same.any():
                 break
+            both = n[step:] + n[:-step]
+            same &= (100 + percent) * np.minimum(room[step:], room[:-step]) >= percent * both
+            same &= 100 * np.minimum(n[step:], n[:-step]) >= percent * np.maximum(n[step:], n[:-step])
+            i = np.flatnonzero(same)
             j = i + step
-            least = (percent * (n[i] + n[j]) + 99 + percent) // (100 + percent)
-            ok = np.minimum(n[i] - at[i], n[j] - at[j]) >= least
-            ok &= np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent
+            least = (percent * both[i] + 99 + percent) // (100 + percent)
+            ok = np.bitwise_count(bits[i] ^ bits[j]) <= both[i] - 2 * least
             ok &= (d[i] != d[j]) | (th[i] != th[j]) | (line[i] != line[j])
-            i, j, least = i[ok], j[ok], least[ok]
-            ok = np.bitwise_count(bits[i] ^ bits[j]) <= n[i] + n[j] - 2 * least
             found.append(np.stack([j[ok], i[ok]]))
         j, i = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
         order = np.lexsort((i, j))
@@ -228,13 +229,18 @@ def _short_lists(posts: DataFrame, percent: int) -> DataFrame:
         rows = pa.Table.from_batches(held)
         token, d, th, line, n, at, bits = (rows[c].to_numpy() for c in ("token", "d", "th", "line", "n", "at", "bits"))
         order = np.lexsort((line, th, d, token))
-        token = token[order]
+        starts = np.r_[np.flatnonzero(np.r_[True, np.diff(token[order]) != 0]), len(order)]
+        # Lists of like length follow each other, so few comparisons go beyond a list's end.
+        sizes = np.repeat(np.diff(starts), np.diff(starts))
+        by_size = np.argsort(sizes, kind="stable")
+        order, token = order[by_size], token[order[by_size]]
         new = np.r_[np.flatnonzero(np.r_[True, token[1:] != token[:-1]]), len(token)]
+        n, at = n.astype(np.int64), at.astype(np.int64)
         a = 0
         while a < len(token):
             b = int(new[np.searchsorted(new, min(a + 20_000, len(token)), "left")])
             part = order[a:b]
-            yield close(token[a:b], d[part], th[part], line[part], n[part].astype(np.int64), at[part].astype(np.int64), bits[part].view(np.uint64))
+            yield close(token[a:b], d[part], th[part], line[part], n[part], n[part] - at[part], bits[part].view(np.uint64))
             a = b
 
     parts = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -245,15 +251,22 @@ def _short_lists(posts: DataFrame, percent: int) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, min_words: int, percent: int) -> DataFrame:
     """d, th and line of the later lines of those pairs that are as similar as asked."""
     pairs = landed(pairs)
+    if pairs.isEmpty():
+        return pairs.select(*(F.col(f"{c}_r").alias(c) for c in _PLACE))
     mark = lambda s: F.col(f"th_{s}").bitwiseXOR(F.col(f"d_{s}")).bitwiseXOR(F.col(f"line_{s}").cast("long") * 40503).bitwiseAND(_MARKS - 1)
     marks = np.zeros(_MARKS, bool)
     found = pairs.select(F.explode(F.array(mark("l"), mark("r"))).alias("m")).distinct().toPandas()["m"].to_numpy()
     marks[found.astype(np.int64)] = True
     packed = docs.sparkSession.sparkContext.broadcast(np.packbits(marks))
+    whole = pairs.select(F.explode(F.array(*(F.col(f"th_{s}").bitwiseXOR(F.col(f"d_{s}")).bitwiseAND(_MARKS - 1) for s in "lr"))).alias("m")).distinct().toPandas()["m"].to_numpy()
+    marks = np.zeros(_MARKS, bool)
+    marks[whole.astype(np.int64)] = True
+    packed_docs = docs.sparkSession.sparkContext.broadcast(np.packbits(marks))
 
     def words(stream):
-        wanted = np.unpackbits(packed.value).astype(bool)
+        wanted, wanted_docs = (np.unpackbits(x.value).astype(bool) for x in (packed, packed_docs))
         for rows in stream:
+            rows = rows.filter(pa.array(wanted_docs[(rows["th"].to_numpy() ^ rows["d"].to_numpy()) & (_MARKS - 1)]))
             data, offsets = text_buffers(rows["text"])
             for a, b, _, _ in blocks(data, offsets, 4 << 20):
                 piece = rows.slice(a, b - a)
