@@ -10,6 +10,7 @@ from ..functions.errors import classify_error
 from ..functions.prompt import structured_prompts
 from ..functions.text import compact_history, render
 from ..operators import evaluate as E, messages as M, report as R, selection as S
+from ..operators.lineage import cut
 from ..sources.tables import row_set_digest, table
 from .bindings import MESSAGES_SQL, ORDER, POOL_SQL, SPLIT_SQL, TRACES_SQL, messages, traces
 
@@ -258,8 +259,8 @@ arm_b AS (SELECT lang, trace_id, 1 AS phase FROM lead UNION ALL SELECT lang, tra
 
 
 def _arm(spark, d, arm):
-    pool = _pool(spark, d).drop("text").persist()
-    budgets = _budgets(pool)
+    pool = cut(_pool(spark, d).drop("text"))
+    budgets = cut(_budgets(pool))
     if arm == "random":
         return S.greedy_fill(pool.withColumn("o", S.hash_order(F.col("trace_id"), "random")), ["o", "trace_id"], "cost", budgets, "lang").drop("o")
     if arm == "shortest":
