@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from .arrays import LOWER, SPACE_WORD, blocks, distinct, mix, narrow, pack, ranked, sorted_set, span_hashes, spans, text_buffers, unpack
 from .exchange import exchange, finish, landed, stable
 
-#: Lines of fewer different words are left alone.
-MIN_WORDS, PERCENT = 10, 80
+#: Every line with a word counts; lines of fewer different words than asked are left alone.
+MIN_WORDS, PERCENT = 1, 80
 #: Lists of more lines are compared with their earliest line first; of shorter ones a line's FIRST earliest candidates go first.
 HOT, FIRST = 1024, 4
 #: Candidate lines, and documents that have some, are marked in so many bits each, so that a second scan reads and returns few others.
@@ -155,7 +155,9 @@ def _rows(docs: DataFrame, min_words: int, percent: int) -> DataFrame:
         n, which = lines.size, np.repeat(np.arange(len(lines.size)), lines.size)
         place = ranked(which, df[lines.place], lines.place, len(lines.keys))
         at = np.arange(len(place)) - np.repeat(lines.first[:-1], n)
-        use = (at < np.repeat(n - (n * percent + 99) // 100 + 1, n)) & (df[place] > 1) & np.repeat(leads, n)
+        # The set nearest to one of n words has one word more, so of the shortest only equal sets match, which are found above.
+        near = leads & (n * 100 >= (n + 1) * percent)
+        use = (at < np.repeat(n - (n * percent + 99) // 100 + 1, n)) & (df[place] > 1) & np.repeat(near, n)
         which, at, token = which[use], at[use], (lines.keys >> _LIST_BITS)[place[use]]
         total = rows.num_rows
         posts = pa.StructArray.from_arrays(

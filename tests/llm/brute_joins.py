@@ -38,7 +38,7 @@ def op10(docs, k=4, percent=85):
     return [(d, len(sets[i]), d if not sets[i] else min(least[root(i)], default=None)) for i, (d, _) in enumerate(docs)]
 
 
-def op3(docs, key, min_words=10, percent=80):
+def op3(docs, key, min_words=1, percent=80):
     """Removed line numbers of every row; key: a row's place in the order."""
     lines = []
     for i, (_, text) in enumerate(docs):

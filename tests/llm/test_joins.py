@@ -65,6 +65,14 @@ def test_line_dedup_texts(spark):
     assert out == {(2, "own words here that nobody else has"), (1, f"first\n{line}"), (3, ""), (4, None), (4, "a b\na b")}
 
 
+def test_line_dedup_short_lines(spark):
+    short = ["a", "b c", "d e f", "g h i j", "k l m n o", "p q r s t u v w x"]
+    docs = [(1, "\n".join(short)), (2, "\n".join([*short[::-1], "y"])), (3, "g h i j z\nd e f z\nl k O n m O\nk l m n y\np q r s t u v w y")]
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    # Jaccard 4 / 5 and 8 / 10 match; 3 / 4 and 4 / 6 don't.
+    assert got == {1: [], 2: [0, 1, 2, 3, 4, 5], 3: [0, 2, 4]}
+
+
 @pytest.mark.parametrize("which", ["table", "awkward", "empty"])
 def test_lm_scoring(spark, awkward, which):  # noqa: F811
     docs = {"table": table(spark, "documents"), "awkward": awkward, "empty": awkward.limit(0)}[which]
