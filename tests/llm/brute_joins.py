@@ -74,7 +74,7 @@ def pipeline(docs, items):
     """Rows of the pipeline over (doc_id, source, text) rows with different ids."""
     keep = brute.op9_kept([(d, s, t) for d, s, t in docs], 20, 0.05)
     docs = [(d, t) for (d, _, t), k in zip(docs, keep, strict=True) if k]
-    gone = op3(docs, lambda r: (r[0],))
+    gone = op3(docs, lambda r: (r[0],), min_words=1)
     docs = [(d, "\n".join(x for n, x in enumerate(t.split("\n")) if n not in g)) for (d, t), g in zip(docs, gone, strict=True)]
     docs = [(d, t) for d, t in docs if brute.space_words(t)]
     docs = [(d, t) for (d, t), (_, _, c) in zip(docs, op10(docs), strict=True) if c == d]

@@ -25,3 +25,11 @@ def test_stages_keep_columns_and_one_of_each(spark):
     copies = spark.createDataFrame([(i, text, "en", "s", 9) for i in (7, 3, 5, 3)] + [(9, "other " + text[::-1], "en", "s", 9)], docs.schema)
     assert sorted(r["doc_id"] for r in corpus_pipeline.one_of_each(spark, copies, SF).collect()) == [3, 9]
     assert sorted(r["doc_id"] for r in corpus_pipeline.dedup_lines(spark, copies, SF).collect()) == [3, 3, 9]
+
+
+def test_line_dedup_stage_drops_short_repeats(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    line = "Licensed under the Apache License"
+    made = [(i, f"{line}\n{' '.join(f'w{i}x{k}' for k in range(9))}", "en", "s", 9) for i in (1, 2, 3)]
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_lines(spark, spark.createDataFrame(made, docs.schema), SF).collect()}
+    assert [i for i in out if line in out[i]] == [1] and len(out) == 3
