@@ -305,7 +305,8 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words:
     rare = posts.join(often, "token", "left_anti")
     cold = landed(_short_lists(rare, percent).distinct())
 
-    thick = landed(posts.where(F.col("df") > hot).join(often, "token", "left_semi"))
+    # Also a rarer word's postings, if it shares the token of a frequent one.
+    thick = landed(posts.join(often, "token", "left_semi"))
     head = F.min(F.struct("d", "th", "line", "n", "at", "bits")).alias("h")
     heads = landed(thick.groupBy("token").agg(head).select("token", *(F.col(f"h.{c}").alias(f"{c}_l") for c in ("d", "th", "line", "n", "at", "bits"))))
     star = heads.join(_side(thick, "r"), "token").where(_fits(percent)).select(*_PAIR)

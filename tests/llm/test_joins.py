@@ -73,6 +73,19 @@ def test_line_dedup_short_lines(spark):
     assert got == {1: [], 2: [0, 1, 2, 3, 4, 5], 3: [0, 2, 4]}
 
 
+def test_line_dedup_with_shared_tokens(spark, monkeypatch):
+    # Two tokens for all words, so that rare words' postings are in frequent words' lists.
+    monkeypatch.setattr(line_dedup, "_LIST_BITS", line_dedup.np.uint64(63))
+    r = random.Random(3)
+    docs = [(i, " ".join(r.sample([f"f{k}" for k in range(14)], 9))) for i in range(40)]
+    docs += [(100 + i, " ".join(f"w{i}x{k}" for k in range(10))) for i in range(9)]
+    docs += [(200 + i, f"{docs[40 + i][1]} y{i}") for i in range(9)]
+    found = line_dedup.find(spark.createDataFrame(docs, "doc_id long, text string"), hot=8).collect()
+    got = {x["d"]: x["removed"] for x in found}
+    assert [got[200 + i] for i in range(9)] == [[0]] * 9
+    assert [got[i] for i, _ in docs] == brute_joins.op3(docs, lambda row: (row[0],))
+
+
 @pytest.mark.parametrize("which", ["table", "awkward", "empty"])
 def test_lm_scoring(spark, awkward, which):  # noqa: F811
     docs = {"table": table(spark, "documents"), "awkward": awkward, "empty": awkward.limit(0)}[which]
