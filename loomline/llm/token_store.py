@@ -13,12 +13,14 @@ and rank directory.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -150,13 +152,38 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True
-    return out, {}
+    added = {t.content: i for i, t in out.get_added_tokens_decoder().items()}
+    if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in out.get_added_tokens_decoder().values()):
+        raise ValueError("added tokens that depend on what is around them aren't supported")
+    return out, added, {}
 
 
 def token_ids(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all rows, first id of each row and the end) by the tokenizer file; each distinct pre-token is encoded once in a batch."""
-    tokenizer, cache = _tokenizer(path)
+    """(ids of all rows, first id of each row and the end) by the tokenizer file, as its library encodes whole texts.
+
+    Added tokens within a text are one id each, and the texts between them are encoded
+    by themselves.
+    """
+    added = _tokenizer(path)[1]
+    found = np.zeros(len(column), bool)
+    for token in added:
+        found |= pc.match_substring(column, token).fill_null(False).to_numpy(zero_copy_only=False)
+    if not found.any():
+        return _plain_ids(column, path)
+    cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")")
+    # Pieces of all rows; at odd places of a row the added tokens, whose pieces are empty.
+    parts = [cut.split(x) if f else [x] for x, f in zip(column.to_pylist(), found.tolist(), strict=True)]
+    first = np.r_[0, np.cumsum([len(p) for p in parts])]
+    ids, begin = _plain_ids(pa.array(["" if k % 2 else x for p in parts for k, x in enumerate(p)], column.type), path)
+    one = np.array([k % 2 for p in parts for k in range(len(p))], np.int64)
+    at = np.flatnonzero(one)
+    ids = np.insert(ids, begin[at], np.array([added[x] for p in parts for x in p[1::2]], ids.dtype))
+    return ids, (begin + np.r_[0, np.cumsum(one)])[first]
+
+
+def _plain_ids(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """token_ids() of texts without added tokens; each distinct pre-token is encoded once in a batch."""
+    tokenizer, _, cache = _tokenizer(path)
     data, starts, ends, first, hashes = words_of(column)
     keys, place = distinct(hashes)
     at = np.empty(len(keys), np.int64)

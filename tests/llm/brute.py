@@ -29,7 +29,6 @@ def op2(docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     out, start = [], 0
     for i, text in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1] is not None, (d[1] or "").encode())):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]

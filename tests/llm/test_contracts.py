@@ -56,6 +56,15 @@ def test_token_store(spark, awkward, which):
     same(rows(token_store.store_and_read(docs, P.path("byte_bpe_50k.json")), "doc_id", "start", "n_tokens", "ids_crc32"), brute.op2(pairs(docs)))
 
 
+def test_token_store_added_tokens(spark):
+    end = "<|endoftext|>"
+    texts = [f"a{end}b", end, f"{end}{end} x  {end}  y ", "", None, "<|endoftext| >", f"<|{end}|>\n \n{end}", "plain  text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = rows(token_store.store_and_read(docs, P.path("byte_bpe_50k.json")), "doc_id", "start", "n_tokens", "ids_crc32")
+    same(got, brute.op2(pairs(docs)))
+    assert [n for i, _, n, _ in sorted(got)][:2] == [4, 2]
+
+
 def test_token_file_random_access():
     import numpy as np
 
