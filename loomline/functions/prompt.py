@@ -41,16 +41,15 @@ CHARACTERS = Tokenizer(lambda text: [ord(c) for c in text], lambda ids: "".join(
 
 
 def clip(tokenizer: Tokenizer, content: str, cap: int, both_ends: bool) -> str:
-    """Content of cap tokens at most: its end, or its beginning and end, after a mark that says so."""
-    ids = tokenizer.encode(content)
-    if len(ids) <= cap:
-        return content
-    if cap <= 0:
-        return OMITTED
+    """Content of cap tokens at most: a mark that says so, and of its ids as many as there's room for, without those in the middle or at the beginning."""
+    ids = list(tokenizer.encode(content))
+    spare = cap - len(ids)
+    if spare >= 0 or cap <= 0:
+        return content if spare >= 0 else OMITTED
     room = max(0, cap - len(tokenizer.encode(TRUNCATED)))
-    head = (room + 1) // 2 if both_ends else 0
-    tail = room - head
-    return TRUNCATED + tokenizer.decode(ids[:head] + (ids[len(ids) - tail :] if tail else []))
+    tail = room // 2 if both_ends else room
+    del ids[room - tail : len(ids) - tail]
+    return TRUNCATED + tokenizer.decode(ids)
 
 
 def record(message: dict) -> dict:
@@ -66,61 +65,55 @@ def plain(message: dict) -> dict:
 
 
 class Prompt:
-    """The prompt of some earlier messages within a cap, and what it kept; text is None if the policy is missing or doesn't fit."""
+    """The prompt of some earlier messages within a cap, and what it kept; text is None if the policy is missing or doesn't fit.
+
+    There are always the policy, the first user message as the task, and the newest
+    message; of the caps for the content of these two the first pair that fits holds.
+    The messages before the newest follow whole, as far back as they fit.
+    """
 
     def __init__(self, messages: list[dict], cap: int, tokenizer: Tokenizer = CHARACTERS):
-        self.tokenizer, self.cap = tokenizer, cap
+        self.tokenizer, self.cap, self.text, self.kept = tokenizer, cap, None, 0
         self.policy = "\n".join(m.get("content") or "" for m in messages if m.get("role") == "system")
         self.rest = [m for m in messages if m.get("role") != "system"]
-        self.task = next((i for i, m in enumerate(self.rest) if m.get("role") == "user"), None)
-        newest = len(self.rest) - 1
-        self.newest = newest if newest >= 0 and newest != self.task else None
-        self.text, self.kept = None, 0
-        if self.policy and (base := self._base()):
-            self._extend(*base)
-
-    def _assemble(self, task: dict | None, recent: list[dict], omitted: bool) -> str:
-        lines = [POLICY, self.policy, POLICY_END]
-        if task is not None:
-            lines += [TASK, compact(record(task)), TASK_END]
-        lines += [RECENT, *([META] if omitted else []), *(compact(record(m)) for m in recent), RECENT_END, CALL]
-        return "\n".join(lines) + "\n"
-
-    def _clipped(self, at: int | None, cap: int, both_ends: bool) -> dict | None:
-        if at is None:
-            return None
-        message = self.rest[at]
-        return message | {"content": clip(self.tokenizer, message["content"], cap, both_ends)} if message.get("content") else message
-
-    def _fits(self, text: str) -> bool:
-        return self.tokenizer.size(text) <= self.cap
-
-    def _base(self) -> tuple[dict | None, dict | None] | None:
-        """The task request and the newest message at the first caps that fit."""
-        for task_cap in TASK_CAPS:
-            task = self._clipped(self.task, task_cap, True)
-            for newest_cap in NEWEST_CAPS:
-                newest = self._clipped(self.newest, newest_cap, False)
-                if self._fits(self._assemble(task, [newest] if newest else [], True)):
-                    return task, newest
-        return None
-
-    def _extend(self, task: dict | None, newest: dict | None) -> None:
-        """Adds whole messages before the newest, latest first, up to the first that doesn't fit."""
-        recent = [newest] if newest is not None else []
-        fixed = (self.task is not None) + len(recent)
-
-        def whole(messages: list[dict]) -> tuple[str, int]:
-            kept = fixed + len(messages) - (newest is not None)
-            return self._assemble(task, messages, kept < len(self.rest)), kept
-
-        for at in range(len(self.rest) - 2, -1, -1):
-            if at == self.task:
-                continue
-            if not self._fits(whole([self.rest[at], *recent])[0]):
+        users = [i for i, m in enumerate(self.rest) if m.get("role") == "user"]
+        self.task = users[0] if users else None
+        # Places besides the task, latest first.
+        self.others = [i for i in reversed(range(len(self.rest))) if i != self.task]
+        self.newest = self.others[:1] if self.rest and self.others[:1] == [len(self.rest) - 1] else []
+        if self.policy:
+            self._write()
+
+    def _lines(self, at: int, caps: tuple[int, ...], both_ends: bool) -> list[str]:
+        """A message's line at each of the caps; equal contents are made once."""
+        message, made = self.rest[at], {}
+        if not message.get("content"):
+            return [compact(record(message))] * len(caps)
+        texts = [clip(self.tokenizer, message["content"], cap, both_ends) for cap in caps]
+        return [made.setdefault(t, compact(record(message | {"content": t}))) for t in texts]
+
+    def _prompt(self, task: str | None, recent: list[str], omitted: bool) -> str | None:
+        """The text with the lines of the task and of recent messages, or None if it doesn't fit."""
+        about = [] if task is None else [TASK, task, TASK_END]
+        history = [META] * omitted + recent
+        text = "\n".join([POLICY, self.policy, POLICY_END, *about, RECENT, *history, RECENT_END, CALL, ""])
+        return text if self.tokenizer.size(text) <= self.cap else None
+
+    def _write(self) -> None:
+        tasks = [None] if self.task is None else self._lines(self.task, TASK_CAPS, True)
+        newest = [[line] for at in self.newest for line in self._lines(at, NEWEST_CAPS, False)] or [[]]
+        fitting = ((t, n) for t in tasks for n in newest if self._prompt(t, n, True) is not None)
+        task, recent = next(fitting, (None, None))
+        if recent is None:
+            return
+        always = (self.task is not None) + len(recent)
+        for count, at in enumerate(self.others[len(recent) :], always + 1):
+            longer = [compact(record(self.rest[at])), *recent]
+            if self._prompt(task, longer, count < len(self.rest)) is None:
                 break
-            recent = [self.rest[at], *recent]
-        self.text, self.kept = whole(recent)
+            recent = longer
+        self.kept = (self.task is not None) + len(recent)
+        self.text = self._prompt(task, recent, self.kept < len(self.rest))
 
 
 def _dict(value):

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder that the session names; a temporary one only where none is set, as in tests.
+    """df written to the checkpoint folder that the session names; a temporary one only in local mode, where none is set.
 
     Plans that refer to a table several times, step after step, grow with a power of
     the steps; a written table is one node, and survives the loss of executors.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomline-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomline-"))
     return df.checkpoint()

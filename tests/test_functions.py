@@ -50,12 +50,14 @@ def test_compact_history(spark):
 
 
 def test_prompt_keeps_policy_and_whole_records():
-    messages = [{"role": "system", "content": "P" * 80}, {"role": "user", "content": "please"}, {"role": "assistant", "content": "y" * 1000}, {"role": "tool", "content": "Error: not found"}]
-    p = prompt.Prompt(messages, 500)
-    assert "P" * 80 in p.text and prompt.CHARACTERS.size(p.text) <= 500
-    assert all(json.loads(line) for line in p.text.split("\n") if line.startswith("{"))
-    assert p.kept == 2 and prompt.META in p.text
-    assert prompt.Prompt(messages, 5000).kept == 3 and prompt.META not in prompt.Prompt(messages, 5000).text
+    said = [("system", "Be brief."), ("user", "Which trains go to Ghent? " * 4), ("assistant", "z" * 700), ("tool", "two trains"), ("user", "and later?")]
+    messages = [{"role": r, "content": c} for r, c in said]
+    p = prompt.Prompt(messages, 420)
+    assert "\nBe brief.\n" in p.text and prompt.CHARACTERS.size(p.text) <= 420
+    shown = [json.loads(line) for line in p.text.split("\n") if line.startswith("{")]
+    assert shown[0]["content"] == said[1][1] and shown[1]["role"] == "meta" and [m["content"] for m in shown[2:]] == ["two trains", "and later?"]
+    assert p.kept == 3 and prompt.META in p.text
+    assert prompt.Prompt(messages, 5000).kept == 4 and prompt.META not in prompt.Prompt(messages, 5000).text
 
 
 def test_prompt_without_policy_or_room():

@@ -134,14 +134,17 @@ def test_length_cuts(spark):
     assert cuts == [sorted(costs)[(len(costs) - 1) * q // 5] for q in range(1, 5)]
 
 
-def test_subset_fill_is_best():
-    assert sum((8, 7, 5)[i] for i in S.subset_fill([8, 7, 5], 13)) == 13
+def test_best_subset():
+    assert S.best_subset([9, 4, 6, 11], 20) == [0, 3] and S.best_subset([3, 3, 6, 6], 9) == [1, 3] and S.best_subset([5], 4) == [] and S.best_subset([], 3) == []
     r = random.Random(1)
     for _ in range(60):
         costs, cap = [r.randint(1, 30) for _ in range(r.randint(0, 8))], r.randint(0, 70)
         best = max(sum(c) for n in range(len(costs) + 1) for c in itertools.combinations(costs, n) if sum(c) <= cap)
-        chosen = S.subset_fill(costs, cap)
-        assert len(set(chosen)) == len(chosen) and sum(costs[i] for i in chosen) == best
+        chosen = S.best_subset(costs, cap)
+        assert sorted(set(chosen)) == chosen and sum(costs[i] for i in chosen) == best
+        # Of the best subsets the one whose last candidates are the latest.
+        equal = [c for n in range(len(costs) + 1) for c in itertools.combinations(range(len(costs)), n) if sum(costs[i] for i in c) == best]
+        assert tuple(chosen) == max(equal, key=lambda c: c[::-1])
 
 
 def test_coverage_order_is_greedy():
