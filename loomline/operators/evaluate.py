@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .lineage import cut
+from .selection import hash_order, hash_part, running
 
 METRICS = ["json_valid", "tool_name_correct", "arguments_exact", "full_call_exact"]
 GROUPS = ["overall", "recovery", "agent_initiated", "user_assisted"]
@@ -16,6 +19,17 @@ def score(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"json_valid": valid, "tool_name_correct": name, "arguments_exact": args, "full_call_exact": name & args})
 
 
+def score_text(rows: DataFrame) -> DataFrame:
+    """rows with tool_correct and call_exact where targets have their arguments as JSON text.
+
+    A predicted call whose arguments are an object never equals such a target, whatever
+    is in it; pred_text: whether the prediction's arguments are text.
+    """
+    name = F.coalesce(F.col("pred_name") == F.col("name"), F.lit(False))
+    same = F.coalesce(F.col("pred_text") & (F.col("pred_args") == F.col("args")), F.lit(False))
+    return rows.withColumns({"tool_correct": name, "call_exact": name & same})
+
+
 def in_groups(scored: DataFrame, mode: str = "recovery_mode") -> DataFrame:
     """A row for each group that a prediction is in; groups overlap."""
     m = F.coalesce(F.col(mode), F.lit("none"))
@@ -48,10 +62,13 @@ def cluster_bootstrap(scored: DataFrame, task: str = "task_key", metrics: list[s
     """metric, ci_low, ci_high: 95 % percentile intervals of the mean when tasks are drawn with replacement.
 
     A draw needs only each task's count and sums, never its rows.  Tasks, not rows,
-    are drawn, so their table is joined to samples x tasks draws by number.
+    are drawn, so their table is joined to samples x tasks draws by number.  Numbers
+    follow a hash order, of which no task has more than a part.
     """
     stats = scored.groupBy(task).agg(F.count("*").alias("n"), *(F.sum(F.col(m).cast("long")).alias(m) for m in metrics))
-    numbered = stats.withColumn("i", F.row_number().over(Window.orderBy(task)) - 1).drop(task)
+    stats = cut(stats)
+    order = hash_order(F.col(task), "bootstrap", seed)
+    numbered = running(stats.withColumn("__o__", order), [], hash_part("__o__"), ["__o__", task], F.lit(1), "i").withColumn("i", F.col("i") - 1).drop(task, "__o__")
     size = stats.agg(F.count("*").alias("size")).first()["size"]
     spark = scored.sparkSession
     slots = spark.range(samples).select(F.col("id").alias("sample"), F.explode(F.sequence(F.lit(0), F.lit(max(size, 1) - 1))).alias("slot"))

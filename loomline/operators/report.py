@@ -17,6 +17,33 @@ def counter_text(counts: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.map_entries(counts)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";")
 
 
+def arm_statistics(arms: DataFrame, events: DataFrame, calls: DataFrame, order: list[str]) -> DataFrame:
+    """The measures of each method's traces: tokens, traces, tasks, recovery events, and what is in them.
+
+    arms: method, trace, cost, task_key.  events: trace, error_type, user_assisted.
+    calls: trace, tool and their order.  Sums by trace come first, so a trace that
+    several methods have is counted once.
+    """
+    some = events.groupBy("trace").agg(F.count("*").alias("n"), F.sum(F.col("user_assisted").cast("long")).alias("assisted"))
+    tools = calls.groupBy("trace").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "tool"))), lambda x: x["tool"]), ">").alias("tools"))
+    rows = arms.join(some, "trace", "left").join(tools, "trace", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    out = rows.groupBy("method").agg(
+        F.sum("cost").alias("estimated_tokens"),
+        F.count("*").alias("traces"),
+        F.countDistinct("task_key").alias("unique_tasks"),
+        F.bround(F.sum("cost") / F.count("*").cast("double"), 1).alias("mean_trace_tokens"),
+        F.sum((F.col("n") > 0).cast("long")).alias("recovery_traces"),
+        F.sum("n").alias("recovery_events"),
+        F.sum(F.col("n") - F.coalesce("assisted", F.lit(0))).alias("agent_initiated_events"),
+        F.sum(F.coalesce("assisted", F.lit(0))).alias("user_assisted_events"),
+        F.countDistinct(F.coalesce("tools", F.lit(""))).alias("tool_sequences"),
+    )
+    used = arms.select("method", "trace").distinct()
+    types = used.join(events.select("trace", "error_type").distinct(), "trace").groupBy("method").agg(F.countDistinct("error_type").alias("error_types"))
+    names = used.join(calls.select("trace", "tool").distinct(), "trace").groupBy("method").agg(F.countDistinct("tool").alias("tools"))
+    return out.join(types, "method", "left").join(names, "method", "left").fillna(0, ["error_types", "tools"])
+
+
 def drift(expected: dict[str, tuple[Column, Column]]) -> Column:
     """What differs from the contract, joined by "; ", or OK; expected: message and (observed, wanted)."""
     found = F.filter(F.array(*(F.when(~a.eqNullSafe(b), F.lit(m)) for m, (a, b) in expected.items())), lambda x: x.isNotNull())

@@ -12,7 +12,8 @@ from ..functions.errors import classify_error
 from ..functions.prompt import CHARACTERS, Tokenizer, structured_prompts
 from ..functions.text import compact_history, render, token_estimate
 from ..operators import messages as M, selection as S
-from ..operators.report import require
+from ..operators.lineage import cut
+from ..operators.report import counters, require
 from ..sources.tables import TRAJECTORY, trajectories
 
 # Token caps of a prompt, a completion and a sequence, and the accumulation of an optimizer step.
@@ -154,10 +155,10 @@ def trace_costs(examples: DataFrame) -> DataFrame:
 
 def prepare(records: DataFrame, fraction: float = 0.3, **options) -> dict[str, DataFrame]:
     """The whole build: examples, split, selection (equal budgets by source) and schedules."""
-    examples = examples_v2(records, **options).persist()
+    examples = cut(examples_v2(records, **options))
     split = S.task_split(records)
     costs = trace_costs(examples).join(split.where("split = 'train'").select("task_key"), "task_key", "left_semi")
-    chosen = S.equal_selection(costs.drop("task_key"), fraction).persist()
+    chosen = cut(S.equal_selection(costs.drop("task_key"), fraction))
     selected = chosen.select("arm", F.col("key").alias("trace_id")).join(examples, "trace_id")
     largest = selected.groupBy("arm").count().agg(F.max("count")).first()[0] or 0
     microbatches = -(-largest // ACCUMULATION) * ACCUMULATION
@@ -185,4 +186,11 @@ def arm_stats(built: dict[str, DataFrame]) -> DataFrame:
         F.sum("completion_tokens").alias("scheduled_loss_tokens"),
         (F.count("*") * SEQUENCE_CAP).alias("scheduled_padded_tokens"),
     )
-    return a.join(b, "arm").join(c, "arm")
+    by_source = chosen.groupBy("arm", "source").agg(F.count("*").alias("n"), F.sum("cost").alias("tokens"))
+    maps = [F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", v)))).alias(f"source_{k}_counts") for k, v in (("trajectory", "n"), ("token", "tokens"))]
+    return a.join(b, "arm").join(c, "arm").join(by_source.groupBy("arm").agg(*maps), "arm")
+
+
+def target_tools(examples: DataFrame, group: list[str]) -> DataFrame:
+    """group and counts, a map of how often each tool is the target of an example."""
+    return counters(examples, group, ["target_tool"]).select(*group, "counts")

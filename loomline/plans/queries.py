@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import json
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import calls as C
 from ..functions.batches import encode_left_cut, pad
 from ..functions.errors import classify_error
 from ..functions.prompt import structured_prompts
 from ..functions.text import compact_history, render
-from ..operators import evaluate as E, messages as M, report as R, selection as S
+from ..operators import contracts as K, evaluate as E, messages as M, report as R, selection as S
 from ..operators.lineage import cut
 from ..sources.tables import row_set_digest, table
 from .bindings import MESSAGES_SQL, ORDER, POOL_SQL, SPLIT_SQL, TRACES_SQL, messages, traces
@@ -110,6 +113,10 @@ def _sql_text(x):
     return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
 
 
+def _sql_list(texts):
+    return "[" + ", ".join(map(_sql_text, texts)) + "]"
+
+
 def _values_sql(columns, rows):
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(str(x) if isinstance(x, int) else _sql_text(x) for x in r) + ')' for r in rows)}) v({', '.join(columns)})"
 
@@ -159,6 +166,42 @@ def parse_call(spark, sf_dir):
     return rows.select("i", F.col("g.name").alias("greedy_name"), F.col("g.args").alias("greedy_args"), "p.name", "p.args")
 
 
+# --- the same functions on tables -----------------------------------------------------------
+
+_OPENINGS = ["Error: ", "item not found: ", "Missing field ", "already booked ", "error - ", "all good ", "Forbidden: ", "unknown, invalid "]
+
+
+def _said(spark, d):
+    """A tool's text for every event: an opening by the event's number, its type and properties."""
+    opening = F.element_at(F.array(*map(F.lit, _OPENINGS)), (F.col("event_id") % len(_OPENINGS) + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", "event_type", "props", F.concat(opening, "event_type", F.lit(" "), "props").alias("text"))
+
+
+_SAID_SQL = f"SELECT event_id AS i, ({_sql_list(_OPENINGS)})[event_id % {len(_OPENINGS)} + 1] || event_type || ' ' || props AS text FROM events"
+
+
+@query(f"SELECT error_type, count(*) AS n, min(i) AS first FROM ({_RULE} FROM ({_SAID_SQL})) GROUP BY error_type")
+def error_rules(spark, sf_dir):
+    rows = _said(spark, sf_dir).select("event_id", classify_error(F.col("text")).alias("error_type"))
+    return rows.groupBy("error_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+
+
+@query("""SELECT event_id, replace(props, ' ', '') AS shallow, '{"args":' || replace(props, ' ', '') || ',"type":"' || event_type || '"}' AS deep FROM events""")
+def canonical_event_args(spark, sf_dir):
+    nested = F.to_json(F.struct("event_type", "props"))
+    nested = F.regexp_replace(F.regexp_replace(nested, '^\\{"event_type"', '{"type"'), '"props"', '"args"')
+    rows = table(spark, sf_dir, "events").select("event_id", "props", nested.alias("nested"))
+    return rows.select("event_id", C.canonical_args("props").alias("shallow"), C.canonical_args_deep("nested").alias("deep"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 > 0 THEN event_type END AS name, CASE WHEN event_id % 3 > 0 THEN replace(props, ' ', '') END AS args FROM events""")
+def parse_event_calls(spark, sf_dir):
+    call = F.concat(F.lit('{"name": "'), "event_type", F.lit('", "arguments": '), "props", F.lit("}"))
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("no call in {"), "props")).when(F.col("event_id") % 3 == 1, F.concat(F.lit("I'll do {x: "), call, F.lit(" now"))).otherwise(call)
+    rows = table(spark, sf_dir, "events").select("event_id", C.parse_call(text).alias("p"))
+    return rows.select("event_id", "p.name", "p.args")
+
+
 # --- traces: success, dedup, split, cost -----------------------------------------------------
 
 
@@ -283,23 +326,27 @@ def arm_balanced(spark, sf_dir):
     return _arm(spark, sf_dir, "balanced").select("lang", "trace_id", "phase")
 
 
-@query(f"""{_P}, {_RANDOM_SQL}, {_SHORT_SQL}, {_BALANCED_SQL},
-arms AS (SELECT 'random_success' AS method, trace_id FROM arm_r UNION ALL SELECT 'shortest_success', trace_id FROM arm_s UNION ALL SELECT 'recovery_balanced', trace_id FROM arm_b)
-SELECT method, CAST(sum(cost) AS BIGINT) AS estimated_tokens, count(*) AS traces, count(DISTINCT task_key) AS unique_tasks, sum(cost) / CAST(count(*) AS DOUBLE) AS mean_trace_tokens, CAST(sum(recovery) AS BIGINT) AS recovery_traces
-FROM arms JOIN pool USING (trace_id) GROUP BY method""")
+_USERS = 150  # a trace's events are those of the user with its number modulo this
+
+
+@query(f"""{_P}, {_RANDOM_SQL}, {_SHORT_SQL}, {_BALANCED_SQL}, {MESSAGES_SQL},
+arms AS (SELECT 'random_success' AS method, trace_id FROM arm_r UNION ALL SELECT 'shortest_success', trace_id FROM arm_s UNION ALL SELECT 'recovery_balanced', trace_id FROM arm_b),
+tr AS (SELECT method, pool.*, CAST(substr(trace_id, 2) AS BIGINT) % {_USERS} AS usr FROM arms JOIN pool USING (trace_id)),
+pe AS (SELECT trace AS usr, count(*) AS n, sum(user_assisted::INT) AS ua FROM ev GROUP BY trace),
+tl AS (SELECT trace AS usr, string_agg(call_name, '>' ORDER BY idx) AS tools FROM m WHERE call IS NOT NULL GROUP BY trace),
+one AS (SELECT method, CAST(sum(cost) AS BIGINT) AS estimated_tokens, count(*) AS traces, count(DISTINCT task_key) AS unique_tasks, round_even(sum(cost) / CAST(count(*) AS DOUBLE), 1) AS mean_trace_tokens,
+  count(*) FILTER (coalesce(n, 0) > 0) AS recovery_traces, CAST(coalesce(sum(n), 0) AS BIGINT) AS recovery_events, CAST(coalesce(sum(n - ua), 0) AS BIGINT) AS agent_initiated_events, CAST(coalesce(sum(ua), 0) AS BIGINT) AS user_assisted_events,
+  count(DISTINCT coalesce(tools, '')) AS tool_sequences FROM tr LEFT JOIN pe USING (usr) LEFT JOIN tl USING (usr) GROUP BY method),
+ty AS (SELECT method, count(DISTINCT error_type) AS error_types FROM (SELECT DISTINCT method, usr FROM tr) JOIN ev ON ev.trace = usr GROUP BY method),
+tn AS (SELECT method, count(DISTINCT call_name) AS tools FROM (SELECT DISTINCT method, usr FROM tr) JOIN m ON m.trace = usr WHERE call IS NOT NULL GROUP BY method)
+SELECT one.*, coalesce(error_types, 0) AS error_types, coalesce(tools, 0) AS tools FROM one LEFT JOIN ty USING (method) LEFT JOIN tn USING (method)""")
 def arm_stats_v1(spark, sf_dir):
-    names = {"random": "random_success", "shortest": "shortest_success", "balanced": "recovery_balanced"}
     arms = None
-    for arm, name in names.items():
-        rows = _arm(spark, sf_dir, arm).select(F.lit(name).alias("method"), "cost", "task_key", "recovery")
+    for arm, name in {"random": "random_success", "shortest": "shortest_success", "balanced": "recovery_balanced"}.items():
+        rows = _arm(spark, sf_dir, arm).select(F.lit(name).alias("method"), "cost", "task_key", (F.substring("trace_id", 2, 9).cast("long") % _USERS).alias("trace"))
         arms = rows if arms is None else arms.unionByName(rows)
-    return arms.groupBy("method").agg(
-        F.sum("cost").alias("estimated_tokens"),
-        F.count("*").alias("traces"),
-        F.countDistinct("task_key").alias("unique_tasks"),
-        (F.sum("cost") / F.count("*").cast("double")).alias("mean_trace_tokens"),
-        F.sum(F.col("recovery").cast("long")).alias("recovery_traces"),
-    )
+    made = messages(spark, sf_dir).where("call IS NOT NULL").select("trace", *ORDER, F.col("call.name").alias("tool"))
+    return R.arm_statistics(arms, _events(spark, sf_dir), made, ORDER)
 
 
 @query(f"""{_P}, {_BALANCED_SQL}, p AS (
@@ -314,9 +361,14 @@ def arm_audit(spark, sf_dir):
 @query(f"""{_P}, {_RANDOM_SQL}, man AS (SELECT trace_id, row_number() OVER (ORDER BY trace_id) AS pos FROM arm_r)
 SELECT pos, trace_id, pool.task_key, cost FROM man JOIN pool USING (trace_id)""")
 def manifest_join(spark, sf_dir):
-    ids = _arm(spark, sf_dir, "random").agg(F.array_sort(F.collect_list("trace_id")).alias("trace_ids"))
-    manifest = ids.select(F.posexplode("trace_ids").alias("pos", "trace_id")).withColumn("pos", (F.col("pos") + 1).cast("long"))
-    return manifest.join(_pool(spark, sf_dir), "trace_id").select("pos", "trace_id", "task_key", "cost")
+    listed = K.manifest(K.distinct_ids(_arm(spark, sf_dir, "random"), ["trace_id"]), "trace_id")
+    return K.manifest_rows(listed, _pool(spark, sf_dir), "trace_id").select("pos", "trace_id", "task_key", "cost")
+
+
+@query(f"{_P}, {_RANDOM_SQL}, {_SHORT_SQL}, a AS (SELECT trace_id FROM arm_r UNION ALL SELECT trace_id FROM arm_s) SELECT trace_id, count(*) AS n FROM a GROUP BY trace_id HAVING count(*) > 1")
+def selected_twice(spark, sf_dir):
+    both = _arm(spark, sf_dir, "random").select("trace_id").unionByName(_arm(spark, sf_dir, "shortest").select("trace_id"))
+    return K.repeated(both, ["trace_id"])
 
 
 def _sources(spark, d):
@@ -335,21 +387,29 @@ def equal_budget_selection(spark, sf_dir):
     return S.equal_selection(_sources(spark, sf_dir))
 
 
-@query(f"{_P} SELECT lang AS source, true AS equal, CAST(3 AS BIGINT) AS arms FROM budget")
+@query(f"{_P} SELECT lang AS source, true AS equal, true AS within, CAST(3 AS BIGINT) AS arms, CAST(round_even(0.3 * sum(cost), 0) AS BIGINT) AS quota FROM pool GROUP BY lang")
 def equal_budget_invariant(spark, sf_dir):
-    totals = S.equal_selection(_sources(spark, sf_dir)).groupBy("source", "arm").agg(F.sum("cost").alias("tokens"), F.max("budget").alias("budget"))
-    return totals.groupBy("source").agg(((F.min("tokens") == F.max("tokens")) & (F.max("tokens") <= F.max("budget"))).alias("equal"), F.count("*").alias("arms"))
+    rows = cut(_sources(spark, sf_dir))
+    totals = S.equal_selection(rows).groupBy("source", "arm").agg(F.sum("cost").alias("tokens"))
+    by_source = totals.groupBy("source").agg(F.min("tokens").alias("least"), F.max("tokens").alias("most"), F.count("*").alias("arms"))
+    quotas = rows.groupBy("source").agg(F.bround(F.lit(0.3) * F.sum("cost"), 0).cast("long").alias("quota"))
+    return by_source.join(quotas, "source").select("source", (F.col("least") == F.col("most")).alias("equal"), (F.col("most") <= F.col("quota")).alias("within"), "arms", "quota")
 
 
-_SMALL = [8, 7, 5, 21, 34, 3]
+@query(f"""{_P}, few AS (SELECT lang, cost, row_number() OVER (PARTITION BY lang ORDER BY cost, trace_id) AS i FROM pool),
+w AS (SELECT * FROM few WHERE i <= 12), caps AS (SELECT lang, CAST(floor(sum(cost) * 0.4) AS BIGINT) AS capacity FROM w GROUP BY lang),
+sums AS (SELECT lang, unnest(list_reduce(xs, lambda a, x: list_concat(a, list_transform(a, lambda y: y + x[1])), [0::BIGINT])) AS total FROM (SELECT lang, list([cost]) AS xs FROM w GROUP BY lang))
+SELECT lang, capacity, max(total) AS best FROM sums JOIN caps USING (lang) WHERE total <= capacity GROUP BY lang, capacity""")
+def subset_fill_sum(spark, sf_dir):
+    w = Window.partitionBy("lang").orderBy("cost", "trace_id")
+    few = _pool(spark, sf_dir).withColumn("i", F.row_number().over(w)).where("i <= 12")
 
+    def best(pdf):
+        costs = [int(c) for c in pdf["cost"]]
+        capacity = int(sum(costs) * 0.4)
+        return pd.DataFrame({"lang": pdf["lang"].iloc[:1], "capacity": [capacity], "best": [sum(costs[i] for i in S.best_subset(costs, capacity))]})
 
-@query("""WITH RECURSIVE c AS (SELECT * FROM (VALUES (1, 8), (2, 7), (3, 5), (4, 21), (5, 34), (6, 3)) v(i, cost)), caps AS (SELECT unnest([13, 30, 60, 2]) AS capacity),
-s AS (SELECT capacity, 0 AS i, 0 AS total FROM caps UNION SELECT s.capacity, c.i, s.total + c.cost FROM s JOIN c ON c.i > s.i WHERE s.total + c.cost <= s.capacity)
-SELECT capacity, max(total) AS best FROM s GROUP BY capacity""")
-def subset_fill_sum(spark, sf_dir):
-    rows = [(c, sum(_SMALL[i] for i in S.subset_fill(_SMALL, c))) for c in (13, 30, 60, 2)]
-    return spark.createDataFrame(rows, "capacity int, best int")
+    return few.select("lang", "cost").groupBy("lang").applyInPandas(best, "lang string, capacity long, best long")
 
 
 # --- examples, prompts and schedules -----------------------------------------------------------
@@ -395,11 +455,37 @@ def _arm_examples(spark, d):
 _EXAMPLES_SQL = f"WITH {MESSAGES_SQL}, x AS (SELECT printf('e%09d', event_id) AS example_id, 'arm' || (trace % 2) AS arm FROM lab)"
 
 
-@query(_EXAMPLES_SQL + """, p AS (SELECT x.*, unnest(range(CAST(ceil(5000 / CAST(n AS DOUBLE)) AS BIGINT))) AS schedule_pass FROM (SELECT *, count(*) OVER (PARTITION BY arm) AS n FROM x) x),
-s AS (SELECT example_id, arm, CAST(schedule_pass AS INT) AS schedule_pass, row_number() OVER (PARTITION BY arm ORDER BY schedule_pass, sha256('20260722:schedule:' || arm || ':' || schedule_pass || ':' || example_id), example_id) - 1 AS schedule_index FROM p)
-SELECT example_id, arm, schedule_pass, CAST(schedule_index AS INT) AS schedule_index FROM s WHERE schedule_index < 5000""")
+_SCHEDULE_SQL = _EXAMPLES_SQL + """, b AS (SELECT max(n) AS n FROM (SELECT count(*) AS n FROM x GROUP BY arm)), most AS (SELECT CAST(ceil(n / 16.0) * 16 AS BIGINT) AS most FROM b),
+p AS (SELECT x.*, most, unnest(range(CAST(ceil(most / CAST(n AS DOUBLE)) AS BIGINT))) AS schedule_pass FROM (SELECT *, count(*) OVER (PARTITION BY arm) AS n FROM x) x, most),
+s AS (SELECT example_id, arm, most, CAST(schedule_pass AS INT) AS schedule_pass, row_number() OVER (PARTITION BY arm ORDER BY schedule_pass, sha256('20260722:schedule:' || arm || ':' || schedule_pass || ':' || example_id), example_id) - 1 AS schedule_index FROM p)"""
+
+
+def _schedule(spark, d):
+    examples = _arm_examples(spark, d)
+    largest = examples.groupBy("arm").count().agg(S.microbatch_count(F.max("count")).alias("most")).first()["most"]
+    return S.schedule(examples, "example_id", "arm", largest)
+
+
+@query(_SCHEDULE_SQL + " SELECT example_id, arm, schedule_pass, CAST(schedule_index AS INT) AS schedule_index FROM s WHERE schedule_index < most")
 def fixed_schedule(spark, sf_dir):
-    return S.schedule(_arm_examples(spark, sf_dir), "example_id", "arm", 5000)
+    return _schedule(spark, sf_dir)
+
+
+@query(_SCHEDULE_SQL + " SELECT arm, count(*) AS n, count(*) % 16 = 0 AS whole_steps, count(DISTINCT example_id) AS examples FROM s WHERE schedule_index < most GROUP BY arm")
+def schedule_length(spark, sf_dir):
+    return _schedule(spark, sf_dir).groupBy("arm").agg(F.count("*").alias("n"), (F.count("*") % 16 == 0).alias("whole_steps"), F.countDistinct("example_id").alias("examples"))
+
+
+@query(_EXAMPLES_SQL + " SELECT arm, example_id FROM x ORDER BY example_id LIMIT 16")
+def smoke_rows(spark, sf_dir):
+    return K.limited(_arm_examples(spark, sf_dir), ["example_id"], 16).select("arm", "example_id")
+
+
+@query(f"""WITH {MESSAGES_SQL}, p AS (SELECT 'arm' || (trace % 2) AS arm, target_tool AS value, count(*) AS n FROM lab GROUP BY ALL)
+SELECT arm, 'target_tool' AS counter, string_agg(value || '=' || n, ';' ORDER BY value) AS counts FROM p GROUP BY arm""")
+def target_tool_counts(spark, sf_dir):
+    rows = _labels(spark, sf_dir).select(F.concat(F.lit("arm"), (F.col("trace") % 2).cast("string")).alias("arm"), "target_tool")
+    return R.counters(rows, ["arm"], ["target_tool"]).select("arm", "counter", R.counter_text(F.col("counts")).alias("counts"))
 
 
 @query(_EXAMPLES_SQL + ", c AS (SELECT arm, count(*) AS n FROM x GROUP BY arm) SELECT CAST(ceil(max(n) / 16.0) * 16 AS BIGINT) AS microbatches, CAST(ceil(max(n) / 16.0) AS BIGINT) AS steps FROM c")
@@ -446,6 +532,13 @@ def score_flags(spark, sf_dir):
     return _scored(spark, sf_dir).select("event_id", *E.METRICS)
 
 
+@query(_SCORED_SQL + " SELECT event_id, tool_name_correct AS tool_correct, full_call_exact AND event_id % 2 = 0 AS call_exact FROM sc")
+def score_flags_text(spark, sf_dir):
+    # Predicted calls with an even number have their arguments as text, as targets do, the others as an object.
+    rows = _scored(spark, sf_dir).withColumn("pred_text", F.col("event_id") % 2 == 0)
+    return E.score_text(rows).select("event_id", "tool_correct", "call_exact")
+
+
 _LONG_SQL = """, lg AS (SELECT unnest(['overall', CASE WHEN recovery_mode <> 'none' THEN 'recovery' END, CASE WHEN recovery_mode <> 'none' THEN recovery_mode END]) AS "group", sc.* FROM sc),
 pt AS (SELECT "group", task_key, unnest(['json_valid', 'tool_name_correct', 'arguments_exact', 'full_call_exact']) AS metric, unnest([json_valid, tool_name_correct, arguments_exact, full_call_exact])::INT AS hit FROM lg WHERE "group" IS NOT NULL),
 tk AS (SELECT "group", metric, task_key, count(*) AS n, sum(hit) AS hits FROM pt GROUP BY ALL)"""
@@ -457,8 +550,15 @@ def group_metrics(spark, sf_dir):
     return out.withColumns({c: F.round(c, 9) for c in ("micro", "task_macro")})
 
 
+@query(_SCORED_SQL + """, tk AS (SELECT task_key, count(*) AS n, sum(full_call_exact::INT) AS hits FROM sc GROUP BY task_key)
+SELECT count(*) AS tasks, round(avg(hits / CAST(n AS DOUBLE)), 9) AS full_call_exact FROM tk""")
+def task_macro(spark, sf_dir):
+    means = _scored(spark, sf_dir).groupBy("task_key").agg(F.avg(F.col("full_call_exact").cast("int")).alias("mean"))
+    return means.agg(F.count("*").alias("tasks"), F.round(F.avg("mean"), 9).alias("full_call_exact"))
+
+
 @query(_SCORED_SQL + """, st AS (SELECT task_key, count(*) AS n, sum(full_call_exact::INT) AS hits FROM sc GROUP BY task_key),
-nu AS (SELECT *, row_number() OVER (ORDER BY task_key) - 1 AS i, count(*) OVER () AS size FROM st),
+nu AS (SELECT *, row_number() OVER (ORDER BY sha256('20260722:bootstrap:' || task_key), task_key) - 1 AS i, count(*) OVER () AS size FROM st),
 dr AS (SELECT s.range AS sample, ('0x' || substr(sha256('20260722/' || s.range || '/' || k.range), 1, 8))::BIGINT % (SELECT max(size) FROM nu) AS i FROM range(2000) s, range((SELECT max(size) FROM nu)) k),
 me AS (SELECT sample, sum(hits) / CAST(sum(n) AS DOUBLE) AS mean FROM dr JOIN nu ON dr.i = nu.i GROUP BY sample)
 SELECT 'full_call_exact' AS metric, round(quantile_cont(mean, 0.025), 9) AS ci_low, round(quantile_cont(mean, 0.975), 9) AS ci_high FROM me""")
@@ -489,11 +589,36 @@ def comparison(spark, sf_dir):
     return R.compare(arms, metrics, checks).select("arm", "status", "errors", R.percent(F.col("exact")).alias("full_call_exact"))
 
 
+_DRIFT_SQL = _SCORED_SQL + """, ar AS (SELECT event_id % 4 AS k, count(*) AS n, sum(full_call_exact::INT) AS hits FROM sc GROUP BY 1),
+al AS (SELECT unnest([0, 1, 2, 3, 4]) AS k, unnest(['base_model', 'random_success', 'shortest_success', 'recovery_coverage', 'absent']) AS arm)"""
+
+
+@query(_DRIFT_SQL + """ SELECT arm, CASE WHEN n IS NULL THEN 'missing' WHEN e = '' THEN 'complete' ELSE 'incompatible' END AS status, CASE WHEN n IS NULL THEN 'missing' WHEN e = '' THEN 'OK' ELSE e END AS errors
+FROM (SELECT arm, n, concat_ws('; ', CASE WHEN n <> (SELECT max(n) FROM ar) THEN 'incomplete formal test: ' || n || '/' || (SELECT max(n) FROM ar) END,
+  CASE WHEN al.k = 2 THEN 'model revision drift' END, CASE WHEN al.k = 3 THEN 'missing training or selection manifest' END,
+  CASE WHEN al.k = 1 AND n % 2 = 1 THEN 'training max_steps drift' END, CASE WHEN al.k = 2 THEN 'training model_revision drift' END) AS e FROM al LEFT JOIN ar ON al.k = ar.k)""")
+def contract_drift(spark, sf_dir):
+    names = F.array(*map(F.lit, ("base_model", *S.ARMS)))
+    scored = _scored(spark, sf_dir).groupBy((F.col("event_id") % 4).alias("k")).agg(F.count("*").alias("evaluated"))
+    counts = cut(scored.withColumn("arm", F.element_at(names, (F.col("k") + 1).cast("int"))))
+    generation = F.lit(json.dumps(K.GENERATION, sort_keys=True))
+    revision = F.when(F.col("k") == 2, "other").otherwise("one")
+    metrics = counts.select("arm", F.lit(K.PROTOCOL).alias("protocol"), F.lit(False).alias("limited"), "evaluated", revision.alias("revision"), F.lit("t").alias("test_sha256"), F.lit(K.PROMPT_TOKENS).alias("prompt_tokens"), generation.alias("generation"), F.lit(K.LOADING).alias("loading"))
+    build = counts.agg(F.max("evaluated").alias("test_examples")).select("*", F.lit("one").alias("revision"), F.lit("t").alias("test_sha256"), F.lit("v").alias("validation_sha256"), F.lit(K.PADDED).alias("pad"), F.lit(68).alias("steps"), F.lit(K.ACCUMULATION).alias("accumulation"), F.map_from_arrays(names, F.transform(names, lambda x: F.sha2(x, 256))).alias("schedule_sha256"))
+    steps = F.when((F.col("k") == 1) & (F.col("evaluated") % 2 == 1), 67).otherwise(68)
+    trained = counts.where("k IN (1, 2)").select("arm", F.lit(K.PROTOCOL).alias("train_protocol"), revision.alias("train_revision"), F.lit(K.PADDED).alias("max_seq_len"), steps.alias("max_steps"), F.lit(1).alias("batch_size"), F.lit(K.ACCUMULATION).alias("grad_accum"), F.lit(False).alias("smoke_test"), F.sha2("arm", 256).alias("train_sha256"), F.lit("v").alias("train_validation_sha256"))
+    selections = counts.select("arm", F.lit(1).alias("selected_sft_tokens"))
+    arms = spark.createDataFrame([(a,) for a in ("base_model", *S.ARMS, "absent")], "arm string")
+    return K.arm_drift(metrics, arms, build, trained, selections)
+
+
 @query(f"{_P} SELECT lang, min(cost) AS least, max(cost) AS most, min(cost) = max(cost) AS equal FROM pool GROUP BY lang")
 def cost_spread(spark, sf_dir):
     return R.spread(_pool(spark, sf_dir), ["lang"], "cost")
 
 
-@query()
+@query(f"""{_P}, {_RANDOM_SQL}, h AS (SELECT pool.lang AS lang, sha256(trace_id || chr(31) || cost) AS h FROM arm_r JOIN pool USING (trace_id)),
+d AS (SELECT lang, count(*) AS n, {', '.join(f"sum(('0x' || substr(h, {1 + 12 * k}, 12))::BIGINT) AS s{k}" for k in range(4))} FROM h GROUP BY lang)
+SELECT lang, sha256(concat_ws(':', n, s0, s1, s2, s3)) AS rows_sha256 FROM d""")
 def selection_digest(spark, sf_dir):
     return row_set_digest(_arm(spark, sf_dir, "random"), ["trace_id", "cost"], "lang")

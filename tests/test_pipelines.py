@@ -15,13 +15,13 @@ def call(name, args):
 
 
 def record(task, extra=(), reward=1):
-    traj = [{"role": "system", "content": "policy"}, {"role": "user", "content": f"do {task}"}, call("find", {"id": f"A{task}"}), {"role": "tool", "content": "Error: not found"}, *extra, call("find", {"id": f"B{task}"}), {"role": "tool", "content": "FUTURE"}]
+    traj = [{"role": "system", "content": "policy"}, {"role": "user", "content": f"do {task}"}, call("reserve", {"room": 100 + task, "nights": 2}), {"role": "tool", "content": f"room {100 + task} is already taken"}, *extra, call("reserve", {"nights": 2, "room": 200 + task}), {"role": "tool", "content": "LATER"}]
     return {"task_id": task, "reward": reward, "traj": traj}
 
 
 @pytest.fixture
 def folder(tmp_path):
-    one = [record(i, [{"role": "user", "content": "try B " + "x" * i}] if i % 2 else []) for i in range(24)]
+    one = [record(i, [{"role": "user", "content": "another one " + "x" * i}] if i % 2 else []) for i in range(24)]
     again = [record(0) | {"trial": 1}, record(99, reward=0)]
     (tmp_path / "one-retail.json").write_text(json.dumps(one + again))
     (tmp_path / "two-retail.json").write_text(json.dumps([record(0), *(record(i, [{"role": "assistant", "content": "hm " * i}]) for i in range(24, 44))]))
@@ -36,14 +36,14 @@ def test_examples(spark, folder):
     rows = {r["example_id"]: r for r in P.examples_v2(P.load(spark, folder)).where("task_key IN ('retail:2', 'retail:3')").collect()}
     assert len(rows) == 4
     agent, user = rows["one-retail:task2:trial0:action4"], rows["one-retail:task3:trial0:action5"]
-    assert agent["recovery_mode"] == "agent_initiated" and user["recovery_mode"] == "user_assisted" and agent["prior_error_type"] == "not_found"
-    assert agent["completion"] == '{"arguments":{"id":"B2"},"name":"find"}' and "FUTURE" not in agent["prompt"] and '"arguments":{"id":"A2"}' in agent["prompt"]
+    assert agent["recovery_mode"] == "agent_initiated" and user["recovery_mode"] == "user_assisted" and agent["prior_error_type"] == "conflict"
+    assert agent["completion"] == '{"arguments":{"nights":2,"room":202},"name":"reserve"}' and "LATER" not in agent["prompt"] and '"arguments":{"nights":2,"room":102}' in agent["prompt"]
     assert agent["prompt_tokens"] == len(agent["prompt"]) + 1 and agent["sequence_tokens"] == agent["prompt_tokens"] + len(agent["completion"]) + 1
     first = rows["one-retail:task2:trial0:action2"]
     assert first["recovery_mode"] == "none" and first["prior_error_type"] is None
     v1 = {r["example_id"]: r for r in P.examples_v1(P.load(spark, folder)).where("task_key = 'retail:2'").collect()}
-    assert v1["one-retail:task2:trial0:action4"]["prior_error_type"] == "not_found" and v1["one-retail:task2:trial0:action4"]["prompt"].endswith("TOOL: Error: not found\nASSISTANT_TOOL_CALL:\n")
-    assert 'ASSISTANT_TOOL_CALL: [{"arguments": "{\\"id\\":\\"A2\\"}", "name": "find"}]' in v1["one-retail:task2:trial0:action4"]["prompt"]
+    assert v1["one-retail:task2:trial0:action4"]["prior_error_type"] == "conflict" and v1["one-retail:task2:trial0:action4"]["prompt"].endswith("TOOL: room 102 is already taken\nASSISTANT_TOOL_CALL:\n")
+    assert 'ASSISTANT_TOOL_CALL: [{"arguments": "{\\"nights\\":2,\\"room\\":102}", "name": "reserve"}]' in v1["one-retail:task2:trial0:action4"]["prompt"]
 
 
 def test_caps_and_several_calls_raise(spark, folder):
@@ -69,6 +69,11 @@ def test_prepare(spark, folder):
     assert set(stats) == set(S.ARMS) and len({r["selected_sft_tokens"] for r in stats.values()}) == 1
     assert len({r["scheduled_microbatches"] for r in stats.values()}) == 1 and all(r["scheduled_microbatches"] % 16 == 0 for r in stats.values())
     assert all(r["scheduled_unique_examples"] == r["examples"] for r in stats.values())
+    for r in stats.values():
+        assert set(r["source_trajectory_counts"]) == {"one-retail", "two-retail"} and sum(r["source_trajectory_counts"].values()) == r["trajectories"]
+        assert sum(r["source_token_counts"].values()) == r["selected_sft_tokens"]
+    tools = {r["arm"]: r["counts"] for r in P.target_tools(built["schedule"], ["arm"]).collect()}
+    assert all(tools[a] == {"reserve": r["scheduled_microbatches"]} for a, r in stats.items())
     train = {r["task_key"] for r in built["split"].where("split = 'train'").collect()}
     tasks = {r["task_key"] for r in built["schedule"].select("task_key").distinct().collect()}
     assert tasks <= train

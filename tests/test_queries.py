@@ -11,7 +11,6 @@ import pytest
 from loomline.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
-HEAVY = {"arm_balanced", "arm_stats_v1", "arm_audit", "equal_budget_invariant"}
 
 
 @pytest.fixture(scope="session")
@@ -26,7 +25,7 @@ def clean(v):
     return None if isinstance(v, float) and math.isnan(v) else round(v, 9) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(set(Q.ORACLE_SQL) - HEAVY))
+@pytest.mark.parametrize("name", sorted(set(Q.ORACLE_SQL) - {"equal_budget_invariant"}))
 def test_query_equals_sql(spark, duck, name):
     df = Q.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
