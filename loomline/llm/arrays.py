@@ -7,6 +7,9 @@ per-row Python.  A null text has equal offsets and so counts as empty.
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -14,9 +17,10 @@ import zstandard
 
 #: Bytes handled at once; a longer single text makes a block of its own.
 BLOCK_BYTES = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Spans up to so many bytes are hashed eight bytes at a time; longer ones by BLAKE2b.
+_LONG = 64
+_FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 #: Byte classes of the two word definitions; every byte of a non-ASCII character is a word byte.
 SPACE_WORD = np.ones(256, bool)
@@ -26,8 +30,6 @@ ALNUM_WORD[0x30:0x3A] = ALNUM_WORD[0x61:0x7B] = ALNUM_WORD[0x80:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_byte_code = np.random.default_rng(20240607).integers(1, _MASK, 256, dtype=np.uint64) | np.uint64(1)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -72,15 +74,6 @@ def spans(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, np.flatnonzero(stop) + 1, np.searchsorted(starts, offsets)
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(max(n, BLOCK_BYTES + 1), base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser on unsigned 64-bit integers."""
     h = h ^ (h >> np.uint64(30))
@@ -91,11 +84,42 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of data[start:end] for each span, by prefix sums of a polynomial modulo 2**64."""
-    up, down = _power(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_byte_code[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hash of data[start:end] for each span: eight bytes at a time are mixed in, with the length at first."""
+    n = ends - starts
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    h = mix((eight[starts] & _FIRST_BYTES[np.minimum(n, 8)]) ^ n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    left = np.flatnonzero(n > 8)
+    for at in range(8, _LONG, 8):
+        if not len(left):
+            break
+        h[left] = mix(h[left] * np.uint64(0xD6E8FEB86659FD93) + (eight[starts[left] + at] & _FIRST_BYTES[np.minimum(n[left] - at, 8)]))
+        left = left[n[left] > at + 8]
+    for k in left.tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray) -> bool:
+    """Whether each span has the same bytes as the span at the place in others."""
+    n = ends - starts
+    if not (n == n[others]).all():
+        return False
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    left, at = np.flatnonzero((n > 0) & (others != np.arange(len(n)))), 0
+    while len(left):
+        one, two = eight[starts[left] + at], eight[starts[others[left]] + at]
+        if ((one ^ two) & _FIRST_BYTES[np.minimum(n[left] - at, 8)]).any():
+            return False
+        at += 8
+        left = left[n[left] > at]
+        if at == 4 * _LONG:
+            view = memoryview(padded)
+            return all(view[starts[k] : ends[k]] == view[starts[others[k]] : ends[others[k]]] for k in left.tolist())
+    return True
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,3 +211,22 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 def byte_hash(h: np.ndarray) -> np.ndarray:
     """Unsigned 64-bit hashes as the signed integers that Spark holds."""
     return h.view(np.int64)
+
+
+def trim() -> None:
+    """Gives memory that is free but still held by this process back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def _find_libc():
+    try:
+        out = ctypes.CDLL("libc.so.6")
+        out.malloc_trim  # noqa: B018
+    except (OSError, AttributeError):  # another C library, which has no such call
+        return None
+    return out
+
+
+_libc = _find_libc()

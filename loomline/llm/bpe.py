@@ -9,13 +9,14 @@ table by id, a fixed table of the vocabulary's size.
 from __future__ import annotations
 
 import base64
+import hashlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .arrays import blocks, gather, narrow, pack, span_hashes, text_buffers, unpack
+from .arrays import blocks, distinct, gather, narrow, pack, same_spans, span_hashes, text_buffers, unpack
 from .exchange import exchange, finish
 from .pretokens import pretokens
 
@@ -42,18 +43,41 @@ def _token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(lengths) - lengths, lengths
 
 
-def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, starts, ends, first word of each row, hash of each word) of all pre-tokens of a column."""
-    data, offsets = text_buffers(column)
-    starts, ends, first, hashes = [], [], [np.zeros(1, np.int64)], []
-    for a, _, part, offs in blocks(data, offsets):
-        s, e, f = pretokens(part, offs)
-        hashes.append(span_hashes(part, s, e))
-        first.append(f[1:] + sum(map(len, starts)))
-        starts.append(s + offsets[a])
-        ends.append(e + offsets[a])
-    none = np.zeros(0, np.int64)
-    return data, np.concatenate([none, *starts]), np.concatenate([none, *ends]), np.concatenate(first), np.concatenate([none.view(np.uint64), *hashes])
+class Words:
+    """The pre-tokens of a column and which of them are the same.
+
+    data: the texts' bytes; starts, ends: each pre-token; first: the first one of each
+    row; keys: a number for each distinct one, in order; place: each one's key; at: a
+    pre-token of each key.  Keys are 64-bit hashes, and the bytes are compared: should
+    different words have one hash, all are numbered by BLAKE2b instead.
+    """
+
+    def __init__(self, column: pa.Array):
+        self.data, offsets = text_buffers(column)
+        starts, ends, first, hashes, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)], [np.zeros(0, np.uint64)], 0
+        for a, _, part, offs in blocks(self.data, offsets):
+            s, e, f = pretokens(part, offs)
+            hashes.append(span_hashes(part, s, e))
+            first.append(f[1:] + n)
+            starts.append(s + offsets[a])
+            ends.append(e + offsets[a])
+            n += len(s)
+        self.starts, self.ends, self.first = map(np.concatenate, (starts, ends, first))
+        self._number(np.concatenate(hashes))
+        if not same_spans(self.data, self.starts, self.ends, self.at[self.place]):
+            raw = self.data.tobytes()
+            self._number(np.array([int.from_bytes(hashlib.blake2b(raw[s:e], digest_size=8).digest(), "little") for s, e in zip(self.starts.tolist(), self.ends.tolist(), strict=True)], np.uint64))
+            if not same_spans(self.data, self.starts, self.ends, self.at[self.place]):
+                raise ValueError("two words with equal BLAKE2b")
+
+    def _number(self, hashes: np.ndarray) -> None:
+        self.keys, self.place = distinct(hashes)
+        self.at = np.empty(len(self.keys), np.int64)
+        self.at[self.place] = np.arange(len(self.place))
+
+    def spans(self) -> tuple[np.ndarray, np.ndarray]:
+        """(start, length) of a pre-token of each key."""
+        return self.starts[self.at], (self.ends - self.starts)[self.at]
 
 
 def encode(docs: DataFrame, text: str, path: str, out: str = "ids") -> DataFrame:
@@ -66,14 +90,13 @@ def encode(docs: DataFrame, text: str, path: str, out: str = "ids") -> DataFrame
     docs = docs.drop(out)
 
     def ask(rows):
-        data, starts, ends, _, hashes = words_of(rows[text])
-        keys, at = np.unique(hashes, return_index=True)
-        starts, lengths = starts[at], (ends - starts)[at]
+        words = Words(rows[text])
+        starts, lengths = words.spans()
 
         def entries(a, b):
-            return pack(narrow(lengths[a:b]), gather(data, starts[a:b], lengths[a:b]))
+            return pack(narrow(lengths[a:b]), gather(words.data, starts[a:b], lengths[a:b]))
 
-        return keys, entries
+        return words.keys, entries
 
     def answer(slices):
         one, known, replies = _encoder(path), {}, []
@@ -91,16 +114,16 @@ def encode(docs: DataFrame, text: str, path: str, out: str = "ids") -> DataFrame
         return replies
 
     def compute(rows, replies):
-        _, _, _, first, hashes = words_of(rows[text])
-        keys, place = np.unique(hashes, return_inverse=True)
+        words = Words(rows[text])
+        first, place = words.first, words.place
         got = [unpack(x) for x in replies]
         none = np.zeros(0, np.int64)
         lengths = np.concatenate([none, *(x[0] for x in got)]).astype(np.int64)
         ids = np.concatenate([none, *(x[1] for x in got)]).astype("<u4")
-        if len(lengths) != len(keys):
+        if len(lengths) != len(words.keys):
             raise RuntimeError("a batch wasn't read alike twice")
         starts = np.cumsum(lengths) - lengths
-        step = max(1, rows.num_rows // max(1, len(hashes) >> 20))
+        step = max(1, rows.num_rows // max(1, len(place) >> 20))
         for a in range(0, rows.num_rows, step):
             b = min(a + step, rows.num_rows)
             use = place[first[a] : first[b]]
@@ -110,7 +133,7 @@ def encode(docs: DataFrame, text: str, path: str, out: str = "ids") -> DataFrame
             yield pa.RecordBatch.from_arrays([*(x for x in rows.slice(a, b - a).columns), cut.cast(pa.binary())], names=[*rows.schema.names, out])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.BinaryType())])
-    return finish(exchange(docs, text, ask, answer), compute, schema)
+    return finish(*exchange(docs, text, ask, answer), compute, schema)
 
 
 def decode(coded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

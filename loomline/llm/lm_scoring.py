@@ -8,21 +8,22 @@ the counts of all training documents with those weights.
 
 All counts are exact and global: every batch asks for its distinct words and word
 pairs (see exchange.py), so the work grows with the input and no frequent pair gathers
-in a task.  Held-out positions enter the maximisation as counts in cells of context
-bucket and the two estimates' sizes, at most 25 * 64 * 64, each with its mean estimates.
+in a task.  The held-out counts are a table: how many held-out positions have a word, a
+context and a pair that occur so often.  Each step of the maximisation is an aggregate of
+that table by bucket, which gives three sums for each of at most 25 buckets.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .arrays import LOWER, SPACE_WORD, blocks, distinct, mix, narrow, pack, span_hashes, spans, text_buffers, unpack
-from .exchange import exchange, finish
+from .exchange import exchange, finish, landed
 
-BUCKETS, STEPS, ROUNDS = 25, 64, 60
+#: Buckets of contexts; steps of the maximisation at most, and the change of a weight at which it ends.
+BUCKETS, ROUNDS, SETTLED = 25, 30, 1e-3
 _START, _END = np.uint64(0x5354415254), np.uint64(0x454E44)
 
 
@@ -51,7 +52,7 @@ class Tokens:
         word = mix(tokens) | np.uint64(1)
         pair = mix(before * np.uint64(0xD6E8FEB86659FD93) + mix(tokens)) & ~np.uint64(1)
         words, word = distinct(word)
-        pairs, pair = np.unique(pair, return_inverse=True)
+        pairs, pair = distinct(pair)
         self.keys = np.sort(np.r_[words, pairs])
         odd = (self.keys & np.uint64(1)) == 1
         self.word, self.pair = np.flatnonzero(odd)[word], np.flatnonzero(~odd)[pair]
@@ -108,36 +109,48 @@ def bucket(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(context.astype(np.float64))[1], BUCKETS - 1)
 
 
-def _step(estimate: np.ndarray) -> np.ndarray:
-    with np.errstate(divide="ignore"):
-        return np.where(estimate > 0, 1 + np.minimum(STEPS - 2, np.floor(-2 * np.log2(estimate))), 0).astype(np.int64)
+def held_out_counts(tokens: Tokens, kept: np.ndarray, use: np.ndarray) -> pa.RecordBatch:
+    """(bucket, context, pair, word, n): how many of the positions in use have such counts.
 
-
-def learn_weights(cells: list[tuple[int, float, float, float]], uniform: float) -> np.ndarray:
-    """Weights (pair, word, uniform) of each bucket from cells of (bucket, positions, sums of the pair and word estimates).
-
-    Each weight gets half a position beforehand, so none is 0 and an unseen bucket has
-    about those of all buckets together.
+    Without the pair the context counts by its bucket only, so it's 0 there.
     """
-    out = np.tile(np.array([0.4, 0.4, 0.2]), (BUCKETS, 1))
-    if cells:
-        b, n, pair, word = (np.array(c, float) for c in zip(*cells, strict=True))
-        parts = np.stack([pair / n, word / n, np.full(len(n), uniform)], 1)
-        together = _maximise(parts, n, out[0])
-        for k in range(BUCKETS):
-            mine = b == k
-            out[k] = _maximise(parts[mine], n[mine], together) if mine.any() else together
-    out[0] = [0, out[0][1] / (out[0][1] + out[0][2]), out[0][2] / (out[0][1] + out[0][2])]
-    return out
-
-
-def _maximise(parts: np.ndarray, n: np.ndarray, start: np.ndarray) -> np.ndarray:
-    weights = start.copy()
+    context, pair, word = tokens.context(kept)[use], kept[tokens.pair[use]], kept[tokens.word[use]]
+    slot = bucket(context)
+    context = np.where(pair > 0, context, 0)
+    order = np.lexsort((word, pair, context, slot))
+    columns = [x[order] for x in (slot, context, pair, word)]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in columns], axis=0)
+    at = np.flatnonzero(new)
+    n = np.diff(np.r_[at, len(order)])
+    return pa.RecordBatch.from_arrays([pa.array(x[at], pa.int64()) for x in columns] + [pa.array(n, pa.int64())], names=["bucket", "context", "pair", "word", "n"])
+
+
+def learn_weights(counts: DataFrame, n_kept: int, uniform: float) -> np.ndarray:
+    """Weights (pair, word, uniform) of each bucket from held_out_counts().
+
+    Each weight gets half a position beforehand, so none is 0.  A bucket without
+    held-out positions has the weights of the nearest lower one that has some, else of
+    the nearest higher one.
+    """
+    weights = np.tile(np.array([0.4, 0.4, 0.2]), (BUCKETS, 1))
+    estimates = (F.col("pair") / F.greatest("context", F.lit(1)), F.col("word") / F.lit(float(max(1, n_kept))))
+    seen = np.zeros(BUCKETS, bool)
     for _ in range(ROUNDS):
-        share = parts * weights
-        total = share.sum(1, keepdims=True)
-        gained = (n[:, None] * np.divide(share, total, out=np.zeros_like(share), where=total > 0)).sum(0) + 0.5
-        weights = gained / gained.sum()
+        known = F.array(*(F.array(*map(F.lit, row)) for row in weights.tolist()))
+        own = [F.element_at(F.element_at(known, (F.col("bucket") + 1).cast("int")), k + 1) for k in range(3)]
+        parts = counts.select("bucket", "n", (own[0] * estimates[0]).alias("p"), (own[1] * estimates[1]).alias("w"), (own[2] * uniform).alias("u"))
+        share = [F.sum(F.col("n") * F.col(c) / (F.col("p") + F.col("w") + F.col("u"))).alias(c) for c in "pwu"]
+        before = weights.copy()
+        for r in parts.groupBy("bucket").agg(*share).collect():
+            gained = np.array([r["p"], r["w"], r["u"]]) + 0.5
+            weights[r["bucket"]], seen[r["bucket"]] = gained / gained.sum(), True
+        if np.abs(weights - before).max() < SETTLED:
+            break
+    for k in np.flatnonzero(~seen) if seen.any() else []:
+        lower = np.flatnonzero(seen[:k])
+        weights[k] = weights[lower[-1] if len(lower) else np.flatnonzero(seen)[0]]
+    weights[0] = [0, weights[0][1] / (weights[0][1] + weights[0][2]), weights[0][2] / (weights[0][1] + weights[0][2])]
     return weights
 
 
@@ -152,7 +165,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """
     fold = (F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 10).cast("int")
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), fold.alias("fold"))
-    joined = exchange(slim, "text", _ask, _answer).persist(StorageLevel.DISK_ONLY)
+    joined, parts = exchange(slim, "text", _ask, _answer)
+    joined = landed(joined)
 
     def sums(stream):
         for block in stream:
@@ -167,16 +181,10 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     def tune(rows, replies):
         tokens = Tokens(rows["text"])
         kept, _ = _counts(tokens, replies)
-        use = rows["fold"].to_numpy()[tokens.row] == 1
-        context = tokens.context(kept)[use]
-        pair = kept[tokens.pair[use]] / np.maximum(context, 1)
-        word = kept[tokens.word[use]] / max(1, n_kept)
-        cell = (bucket(context) * STEPS + _step(pair)) * STEPS + _step(word)
-        found, place = np.unique(cell, return_inverse=True)
-        yield pa.record_batch([pa.array(found), pa.array(np.bincount(place, minlength=len(found)).astype(float)), pa.array(np.bincount(place, pair, len(found))), pa.array(np.bincount(place, word, len(found)))], names=["cell", "n", "pair", "word"])
+        yield held_out_counts(tokens, kept, rows["fold"].to_numpy()[tokens.row] == 1)
 
-    cells = finish(joined, tune, "cell long, n double, pair double, word double").groupBy("cell").agg(F.sum("n"), F.sum("pair"), F.sum("word")).collect()
-    weights = learn_weights([(c[0] // (STEPS * STEPS), c[1], c[2], c[3]) for c in sorted(cells)], uniform)
+    counts = finish(joined, parts, tune, "bucket long, context long, pair long, word long, n long")
+    weights = learn_weights(landed(counts.groupBy("bucket", "context", "pair", "word").agg(F.sum("n").alias("n"))), n_kept, uniform)
 
     def judge(rows, replies):
         tokens = Tokens(rows["text"])
@@ -201,4 +209,4 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         )
 
     schema = T.StructType([slim.schema["doc_id"], *T.StructType.fromDDL("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
-    return finish(joined, judge, schema)
+    return finish(joined, parts, judge, schema)
