@@ -13,6 +13,7 @@ and rank directory.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -24,8 +25,8 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .arrays import blocks, distinct, gather, text_buffers
-from .bpe import words_of
+from .arrays import blocks, gather, same_spans, text_buffers, trim
+from .bpe import Words
 from .exchange import input_bytes, shared_dir, stable
 from .files import read_file, write_file
 
@@ -33,7 +34,7 @@ _MAGIC, _RANK_BITS = b"LLDAC01\n", 512
 #: Ids in a file, about; a longer single document makes its file longer.
 FILE_IDS = 2 << 20
 #: Distinct words whose ids a worker keeps between batches; beyond that it starts anew.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 
 
 # --- codes ---------------------------------------------------------------------------
@@ -55,11 +56,23 @@ def widths_for(ids: np.ndarray) -> list[int]:
 
 
 def _pack_bits(values: np.ndarray, width: int) -> bytes:
-    out = []
-    for a in range(0, len(values), 1 << 18):  # a multiple of 8 values, so pieces end at bytes
-        piece = values[a : a + (1 << 18)]
-        out.append(np.packbits((piece[:, None] >> np.arange(width, dtype=np.uint32)) & 1 == 1, bitorder="little").tobytes())
-    return b"".join(out)
+    """values in width bits each, lowest first; up to 16 bits, eight values at a time make width bytes."""
+    if width > 16:
+        out = []
+        for a in range(0, len(values), 1 << 18):  # a multiple of 8 values, so pieces end at bytes
+            piece = values[a : a + (1 << 18)]
+            out.append(np.packbits((piece[:, None] >> np.arange(width, dtype=np.uint32)) & 1 == 1, bitorder="little").tobytes())
+        return b"".join(out)
+    eights = np.zeros((-(-len(values) // 8), 8), np.uint64)
+    eights.reshape(-1)[: len(values)] = values
+    low, high = (sum(eights[:, h + k] << np.uint64(k * width) for k in range(4)) for h in (0, 4))
+    half = np.uint64(4 * width)
+    if width == 16:
+        both = np.stack([low, high], 1)
+    else:
+        both = np.stack([low | high << half, high >> (np.uint64(64) - half)], 1)
+    packed = np.ascontiguousarray(both).view(np.uint8).reshape(-1, 16)[:, :width].tobytes()
+    return packed[: (len(values) * width + 7) // 8]
 
 
 class Level:
@@ -70,14 +83,12 @@ class Level:
         self.chunks = np.frombuffer(chunks + bytes(8), np.uint8)
         self.bitmap = np.frombuffer(bitmap, np.uint8)
         self.ranks = np.frombuffer(ranks, np.uint32).astype(np.int64)
-        ones = np.array([bin(i).count("1") for i in range(256)], np.int64)
-        self.before = np.r_[0, np.cumsum(ones[self.bitmap])] if len(bitmap) else None
+        self.before = np.r_[0, np.cumsum(np.bitwise_count(self.bitmap), dtype=np.int64)] if len(bitmap) else None
 
     def get(self, at: np.ndarray) -> np.ndarray:
         bit = at * self.width
-        byte, shift = bit >> 3, (bit & 7).astype(np.uint32)
-        word = sum(self.chunks[byte + k].astype(np.uint32) << np.uint32(8 * k) for k in range(4))
-        return (word >> shift) & self.mask
+        word = np.ndarray((len(self.chunks) - 3,), "<u4", self.chunks, strides=(1,))[bit >> 3]
+        return (word >> (bit & 7).astype(np.uint32)) & self.mask
 
     def follows(self, at: np.ndarray) -> np.ndarray:
         return (self.bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
@@ -87,7 +98,7 @@ class Level:
         stretch = at // _RANK_BITS
         byte = at >> 3
         part = self.bitmap[byte] & ((1 << (at & 7)) - 1).astype(np.uint8)
-        return self.ranks[stretch] + self.before[byte] - self.before[stretch * (_RANK_BITS // 8)] + np.unpackbits(part[:, None], axis=1).sum(1, dtype=np.int64)
+        return self.ranks[stretch] + self.before[byte] - self.before[stretch * (_RANK_BITS // 8)] + np.bitwise_count(part)
 
 
 def encode_file(doc_ids: np.ndarray, known: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> bytes:
@@ -152,6 +163,9 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     out = Tokenizer.from_file(path)
+    steps = json.loads(out.to_str())
+    if steps["model"]["type"] != "BPE" or steps["normalizer"] or (steps["pre_tokenizer"] or {}).get("type") != "ByteLevel" or steps["pre_tokenizer"]["add_prefix_space"] or not steps["pre_tokenizer"]["use_regex"]:
+        raise ValueError("only byte-level BPE without normalisation is supported")
     added = {t.content: i for i, t in out.get_added_tokens_decoder().items()}
     if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in out.get_added_tokens_decoder().values()):
         raise ValueError("added tokens that depend on what is around them aren't supported")
@@ -181,29 +195,78 @@ def token_ids(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, (begin + np.r_[0, np.cumsum(one)])[first]
 
 
+class _Known:
+    """Ids of words that a worker keeps between batches, found by hash and told apart by bytes."""
+
+    def __init__(self):
+        self.keys, self.ids, self.raw = np.zeros(0, np.uint64), np.zeros(0, "<u4"), np.zeros(0, np.uint8)
+        self.starts = self.counts = self.at = self.sizes = np.zeros(0, np.int64)
+
+    def find(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Places of the words, or -1 for unknown ones."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        place[(self.keys[place] != keys) | (self.sizes[place] != lengths)] = -1
+        found = np.flatnonzero(place >= 0)
+        both = np.r_[data, self.raw]
+        own = np.r_[starts[found], self.at[place[found]] + len(data)]
+        n = len(found)
+        if not same_spans(both, own, own + np.tile(lengths[found], 2), np.r_[np.arange(n) + n, np.arange(n) + n]):
+            raw = both.tobytes()
+            for k in range(n):
+                if raw[own[k] : own[k] + lengths[found[k]]] != raw[own[k + n] : own[k + n] + lengths[found[k]]]:
+                    place[found[k]] = -1
+        return place
+
+    def add(self, keys: np.ndarray, raw: bytes, sizes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        at, starts = len(self.raw) + np.cumsum(sizes) - sizes, len(self.ids) + np.cumsum(counts) - counts
+        self.raw, self.ids = np.r_[self.raw, np.frombuffer(raw, np.uint8)], np.r_[self.ids, ids]
+        order = np.argsort(np.r_[self.keys, keys], kind="stable")
+        self.keys, self.at, self.sizes, self.starts, self.counts = (np.r_[a, b][order] for a, b in ((self.keys, keys), (self.at, at), (self.sizes, sizes), (self.starts, starts), (self.counts, counts)))
+
+
+def _letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it's printable, else the next from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(0x100 + k) for k, b in enumerate(others)}
+
+
+def _encode(tokenizer, raw: bytes, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, number of ids of each) of single pre-tokens of byte-level BPE, by the library's model itself."""
+    letters, one, ids, counts = raw.decode("latin-1").translate(_letters()), tokenizer.model.tokenize, [], []
+    for a, b in spans:
+        got = one(letters[a:b])
+        ids += [t.id for t in got]
+        counts.append(len(got))
+    return np.array(ids, "<u4"), np.array(counts, np.int64)
+
+
 def _plain_ids(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """token_ids() of texts without added tokens; each distinct pre-token is encoded once in a batch."""
+    """token_ids() of texts without added tokens; each distinct pre-token is encoded once in a worker, while it's kept."""
     tokenizer, _, cache = _tokenizer(path)
-    data, starts, ends, first, hashes = words_of(column)
-    keys, place = distinct(hashes)
-    at = np.empty(len(keys), np.int64)
-    at[place] = np.arange(len(place))
-    raw, lengths = gather(data, starts[at], (ends - starts)[at]).tobytes(), (ends - starts)[at].tolist()
-    words, p = [], 0
-    for n in lengths:
-        words.append(raw[p : p + n])
-        p += n
-    if len(cache) > CACHED_WORDS:
-        cache.clear()
-    new = [w for w in words if w not in cache]
-    for a in range(0, len(new), 20_000):
-        part = new[a : a + 20_000]
-        for w, e in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
-    codes = [cache[w] for w in words]
-    counts = np.array([len(c) for c in codes], np.int64) // 4
-    ids, begin = np.frombuffer(b"".join(codes), "<u4"), np.cumsum(counts) - counts
-    return gather(ids, begin[place], counts[place]), np.r_[0, np.cumsum(counts[place])][first]
+    words = Words(column)
+    starts, lengths = words.spans()
+    known = cache.setdefault("known", _Known())
+    place = known.find(words.keys, words.data, starts, lengths)
+    new = np.flatnonzero(place < 0)
+    if len(new):
+        raw = gather(words.data, starts[new], lengths[new]).tobytes()
+        ends = np.cumsum(lengths[new]).tolist()
+        own = list(zip([0, *ends], ends, strict=False))
+        ids, counts = _encode(tokenizer, raw, own)
+        place[new] = len(known.keys) + np.arange(len(new))
+        begin, count = np.r_[known.starts, len(known.ids) + np.cumsum(counts) - counts], np.r_[known.counts, counts]
+        flat = np.r_[known.ids, ids]
+        if len(known.keys) + len(new) > CACHED_WORDS:
+            known = cache["known"] = _Known()
+        known.add(words.keys[new], raw, lengths[new], ids, counts)
+    else:
+        begin, count, flat = known.starts, known.counts, known.ids
+    begin, count = begin[place], count[place]
+    use = words.place
+    return gather(flat, begin[use], count[use]), np.r_[0, np.cumsum(count[use])][words.first]
 
 
 def write_tokens(docs: DataFrame, vocab: str, folder: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0) -> list[tuple[str, int, int]]:
