@@ -43,11 +43,27 @@ import sys
 class Block:
     def find_spec(self, name, path=None, target=None):
         if name.startswith("loomline.llm") or name == "corpus_pipeline":
-            raise ImportError(name)
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Block())
 import __spark_entry__ as e
 assert "event_detection" in e.queries() and not any(k.startswith("op") for k in e.queries())
 assert "event_detection" in e.oracle_sql()
+class Missing:
+    def find_spec(self, name, path=None, target=None):
+        if name == "no_such_library":
+            raise ModuleNotFoundError(name, name=name)
+sys.meta_path[0] = Missing()
+sys.modules.pop("loomline.llm", None)
+import os, tempfile
+folder = tempfile.mkdtemp()
+open(os.path.join(folder, "corpus_pipeline.py"), "w").write("import no_such_library")
+sys.path.insert(0, folder)
+sys.modules.pop("corpus_pipeline", None)
+try:
+    e._optional("corpus_pipeline")
+    raise SystemExit("a missing library was passed over")
+except ModuleNotFoundError:
+    pass
 """
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", code], check=True, cwd=root)
