@@ -13,9 +13,11 @@ set; every set is first verified against the leading set of its most shared shin
 lists, first the one with the most frequent shingles, as an original has, then one by
 chance; after joining what is linked, only pairs of *different* classes are made.
 Pairs within a class need no verification, since they can't change the classes, so no
-link between classes is lost.  A 256-bit parity of each set bounds the shingles in which
-two sets differ from below and drops most pairs that aren't similar enough before
-their texts meet.
+link between classes is lost.  A parity of each set, of 256 bits for the leading sets and
+of about a bit a shingle for the pairs, bounds the shingles in which two sets differ from
+below and drops most pairs that aren't similar enough before their texts meet.
+
+Shingles and their words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -25,15 +27,17 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .arrays import LOWER, SPACE_WORD, blocks, mix, narrow, pack, ranked, sorted_set, span_hashes, spans, text_buffers, unpack, windows
+from .arrays import LOWER, SPACE_WORD, blocks, distinct, mix, narrow, pack, ranked, sorted_set, span_hashes, spans, text_buffers, unpack, windows
 from .decontam import windows_at
-from .exchange import exchange, finish, landed
+from .exchange import exchange, finish, joined, landed
 
 GRAM, PERCENT, MAX_NEED = 4, 85, 4
 #: What verifying a pair costs, in entries of a shingle's list.
 VERIFY_COST = 16
 #: Rounds of comparing sets with the leading set of a list before pairs of classes are made.
 STARS = 2
+#: Lists of more sets are dealt out by size of sets.
+LONG_LIST = 4096
 _BITS = ["b0", "b1", "b2", "b3"]
 #: Document frequencies are counted by the top 48 bits of a shingle's hash; a collision may make a prefix less rare, never wrong.
 _LOW_BITS = np.uint64(16)
@@ -58,10 +62,11 @@ def shingle_sets(column: pa.Array, k: int = GRAM) -> tuple[np.ndarray, np.ndarra
             short = np.flatnonzero(n == m)
             rows.append(short + a)
             found.append(windows_at(hashes, first[short], m))
-    row, keys = np.concatenate(rows), np.concatenate(found)
-    keys, place = np.unique(keys, return_inverse=True)
-    pairs = sorted_set(row * max(1, len(keys)) + place)
-    row, place = np.divmod(pairs, max(1, len(keys)))
+    keys, place = distinct(np.concatenate(found))
+    found, scale = None, max(1, len(keys))
+    place += np.concatenate(rows) * scale
+    rows = None
+    row, place = np.divmod(sorted_set(place), scale)
     return keys, place, np.searchsorted(row, np.arange(len(offsets)))
 
 
@@ -70,7 +75,7 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def set_keys(keys: np.ndarray, place: np.ndarray, first: np.ndarray) -> list[bytes | None]:
-    """A 128-bit key of each set; null for an empty one."""
+    """A 128-bit key of each set of 64-bit hashes; null for an empty one."""
     with np.errstate(over="ignore"):
         halves = [_sums(mix(keys ^ np.uint64(salt))[place], first) for salt in (0x51ED270B7F4A7C15, 0xB492B66FBE98F273)]
     both = np.stack([mix(h + np.diff(first).astype(np.uint64)) for h in halves], 1).tobytes()
@@ -90,6 +95,27 @@ def parities(keys: np.ndarray, place: np.ndarray, first: np.ndarray) -> list[np.
     return out
 
 
+def sketch(members: np.ndarray) -> bytes:
+    """A parity of a set, of the power of two of bits that isn't less than its size, 256 at least and 2**16 at most."""
+    bits = 1 << min(16, max(8, (len(members) - 1).bit_length()))
+    spot = (mix(members ^ np.uint64(0x5E7C)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(spot, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(a: np.ndarray, b: np.ndarray, sketches: list[bytes]) -> np.ndarray:
+    """Bits in which the sketches of sets a and b differ, in pairs; the longer is folded to the shorter one's bits."""
+    sizes, out = np.array([len(x) for x in sketches], np.int64), np.zeros(len(a), np.int64)
+    least = np.minimum(sizes[a], sizes[b])
+    for size in np.unique(least).tolist():
+        pairs = np.flatnonzero(least == size)
+        used, place = np.unique(np.concatenate([a[pairs], b[pairs]]), return_inverse=True)
+        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(sketches[k], np.uint8).reshape(-1, size)) for k in used.tolist()]).view(np.uint64)
+        for at in range(0, len(pairs), max(1, (8 << 20) // size)):
+            some = np.arange(at, min(len(pairs), at + max(1, (8 << 20) // size)))
+            out[pairs[some]] = np.bitwise_count(folded[place[some]] ^ folded[place[some + len(pairs)]]).sum(1)
+    return out
+
+
 def _frequencies(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct keys without their low bits, place of each key in them); keys are sorted."""
     cut = (keys >> _LOW_BITS) << _LOW_BITS
@@ -151,17 +177,19 @@ def profiles(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> D
         length, need = prefixes(first, df, percent)
         use = (np.arange(len(df)) - np.repeat(first[:-1], n) < np.repeat(length, n)) & (df > 1)
         ends = np.r_[0, np.cumsum(use)][first]
-        packer = zstandard.ZstdCompressor(level=3)
-        bodies = [packer.compress((t or "").encode()) if m else None for t, m in zip(rows["text"].to_pylist(), np.diff(ends).tolist(), strict=True)]
+        some = np.flatnonzero(np.diff(ends))
+        bodies, sketches, packer = [None] * len(n), [None] * len(n), zstandard.ZstdCompressor(level=3)
+        for i, t in zip(some.tolist(), rows["text"].take(pa.array(some)).to_pylist(), strict=True):
+            bodies[i], sketches[i] = packer.compress(t.encode()), sketch(keys[place[first[i] : first[i + 1]]])
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens[use].view(np.int64)))
         yield pa.RecordBatch.from_arrays(
-            [rows["doc_id"], pa.array(n), pa.array(set_keys(keys, place, first), pa.binary()), pa.array(need, pa.int32()), pa.array(center), *map(pa.array, parities(keys, place, first)), lists, pa.array(bodies, pa.binary())],
-            names=["doc_id", "n", "set_key", "need", "center", *_BITS, "tokens", "body"],
+            [rows["doc_id"], pa.array(n), pa.array(set_keys(keys, place, first), pa.binary()), pa.array(need, pa.int32()), pa.array(center), *map(pa.array, parities(keys, place, first)), lists, pa.array(bodies, pa.binary()), pa.array(sketches, pa.binary())],
+            names=["doc_id", "n", "set_key", "need", "center", *_BITS, "tokens", "body", "sketch"],
         )
 
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    schema = T.StructType([slim.schema["doc_id"], *T.StructType.fromDDL("n long, set_key binary, need int, center int, b0 long, b1 long, b2 long, b3 long, tokens array<long>, body binary").fields])
-    return finish(exchange(slim, "text", ask, add_counts), compute, schema)
+    schema = T.StructType([slim.schema["doc_id"], *T.StructType.fromDDL("n long, set_key binary, need int, center int, b0 long, b1 long, b2 long, b3 long, tokens array<long>, body binary, sketch binary").fields])
+    return finish(*exchange(slim, "text", ask, add_counts), compute, schema)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
@@ -173,8 +201,9 @@ def verified(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFra
     def run(stream):
         unzip = zstandard.ZstdDecompressor()
         for rows in stream:
-            for at in range(0, rows.num_rows, 512):
-                piece = rows.slice(at, 512)
+            # Shingles, a few million at most unless a single pair has more, are in memory at once.
+            for a, b, _, _ in blocks(np.zeros(0, np.uint8), np.r_[0, np.cumsum(rows["na"].to_numpy() + rows["nb"].to_numpy())], 1 << 20):
+                piece = rows.slice(a, b - a)
                 sides = []
                 for c in ("ba", "bb"):
                     keys, place, first = shingle_sets(pa.array([unzip.decompress(x) for x in piece[c].to_pylist()], pa.binary()), k)
@@ -227,10 +256,76 @@ def _fits(percent: int) -> Column:
 
 
 def _mixed(live: DataFrame, labels: DataFrame) -> DataFrame:
-    """live with the labels, of the shingles' lists that have several classes."""
-    tagged = live.drop("label").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    mixed = landed(tagged.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token"))
-    return landed(tagged.join(mixed, "token", "left_semi"))
+    """live with the labels, of the shingles' lists that have several classes; size: how many sets a list has."""
+    tagged = live.drop("label", "size").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    mixed = landed(tagged.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high").select("token", "size"))
+    return landed(tagged.join(mixed, "token"))
+
+
+def _across(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, shared, need) of pairs of sets of different classes that a list has, and that length and sketches allow to be similar.
+
+    Rows of a pair give parts of the prefix shingles that it shares.  Lists are sorted
+    by size of sets and compared at every distance as long as sizes allow.  Those of
+    more than LONG_LIST sets are dealt out by classes of size first, of which only
+    neighbours can match: a set meets those of its own class and of the next higher one.
+    """
+    step = F.floor(F.log("n") / float(np.log(100 / percent)) + 1e-9).cast("int")
+    own = F.array(F.struct(F.lit(-1).alias("step"), F.lit(True).alias("home")))
+    both = F.array(F.struct(step.alias("step"), F.lit(True).alias("home")), F.struct((step + 1).alias("step"), F.lit(False).alias("home")))
+    rows = live.select("token", "sid", "label", "n", "need", F.explode(F.when(F.col("size") > LONG_LIST, both).otherwise(own)).alias("x")).select("*", "x.*").drop("x")
+    rows = rows.join(sets.select("sid", "sketch"), "sid")
+
+    def run(stream):
+        # Whole lists, until there's some megabytes of them.
+        held, size = [], 0
+        for block in stream:
+            if not block.num_rows:
+                continue
+            held.append(block)
+            size += block.nbytes
+            if size > 8 << 20:
+                table = joined(held)
+                token, kind = table["token"].to_numpy(), table["step"].to_numpy()
+                last = np.flatnonzero((token != token[-1]) | (kind != kind[-1]))
+                cut = int(last[-1]) + 1 if len(last) else 0
+                if cut:
+                    yield from pairs(table.slice(0, cut))
+                held = [table.slice(cut)]
+                size = held[0].nbytes if cut else 0
+        if held:
+            yield from pairs(joined(held))
+
+    def pairs(table):
+        token, kind, sid, label, n, need = (table[c].to_numpy() for c in ("token", "step", "sid", "label", "n", "need"))
+        home = table["home"].to_numpy(zero_copy_only=False)
+        codes, where = np.unique(sid, return_index=True)
+        number, found, at = np.searchsorted(codes, sid), [np.zeros((3, 0), np.int64)], np.arange(len(token))
+        for d in range(1, len(token)):
+            at = at[at + d < len(token)]
+            at = at[(token[at] == token[at + d]) & (kind[at] == kind[at + d]) & (n[at] * 100 >= n[at + d] * percent)]
+            if not len(at):
+                break
+            ok = at[(label[at] != label[at + d]) & (home[at] | home[at + d])]
+            one, two = np.minimum(number[ok], number[ok + d]), np.maximum(number[ok], number[ok + d])
+            both, count = np.unique(one * len(codes) + two, return_counts=True)
+            found.append(np.stack([*np.divmod(both, len(codes)), count]))
+            if sum(f.shape[1] for f in found) > 1 << 20:
+                found = [summed(found, len(codes))]
+        a, b, shared = summed(found, len(codes))
+        sketches = table["sketch"].take(pa.array(where)).to_pylist()
+        size, least = n[where], need[where]
+        ok = differing(a, b, sketches) * (100 + percent) <= (size[a] + size[b]) * (100 - percent)
+        a, b, shared = a[ok], b[ok], shared[ok]
+        yield pa.RecordBatch.from_arrays([pa.array(codes[a]), pa.array(codes[b]), pa.array(shared), pa.array(np.minimum(least[a], least[b]).astype(np.int32))], names=["a", "b", "shared", "need"])
+
+    def summed(found, scale):
+        a, b, count = np.concatenate(found, axis=1)
+        both, place = np.unique(a * scale + b, return_inverse=True)
+        return np.stack([*np.divmod(both, scale), np.bincount(place, count, len(both)).astype(np.int64)])
+
+    parts = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "token", "step").sortWithinPartitions("token", "step", "n", "sid", "home").mapInArrow(run, "a long, b long, shared long, need int")
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = GRAM, percent: int = PERCENT) -> DataFrame:
@@ -242,7 +337,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     """
     every = landed(profiles(docs, doc_id, text, k, percent))
     whole = ["n", "need", "center", *_BITS]
-    some = every.where(F.size("tokens") > 0).groupBy("set_key").agg(*(F.first(c).alias(c) for c in (*whole, "tokens", "body")))
+    some = every.where(F.size("tokens") > 0).groupBy("set_key").agg(*(F.first(c).alias(c) for c in (*whole, "tokens", "body", "sketch")))
     sets = landed(some.withColumn("sid", F.monotonically_increasing_id()))
 
     lists = sets.select("sid", *whole, F.explode("tokens").alias("token"))
@@ -259,8 +354,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
         labels = components(links)
         live = _mixed(live, labels)
 
-    across = _side(live, "l").join(_side(live, "r"), "token").where(_fits(percent)).where("sid_l < sid_r").groupBy(F.col("sid_l").alias("a"), F.col("sid_r").alias("b"))
-    across = across.agg(F.count("*").alias("shared"), F.first(F.least("need_l", "need_r")).alias("need")).where("shared >= need").select("a", "b")
+    across = _across(live, sets, percent).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("need").alias("need")).where("shared >= need").select("a", "b")
     more = landed(verified(across, sets, k, percent))
     if not more.isEmpty():
         labels = components(links.union(more))
