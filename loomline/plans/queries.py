@@ -13,8 +13,8 @@ from ..functions.errors import classify_error
 from ..functions.prompt import structured_prompts
 from ..functions.text import compact_history, render
 from ..operators import contracts as K, evaluate as E, messages as M, report as R, selection as S
-from ..operators.lineage import cut
-from ..sources.tables import row_set_digest, table
+from ..operators.lineage import cut, new_folder
+from ..sources.tables import append_new, json_lines, row_set_digest, table, trajectories, write_csv, write_json_lines
 from .bindings import MESSAGES_SQL, ORDER, POOL_SQL, SPLIT_SQL, TRACES_SQL, messages, traces
 
 QUERIES: dict = {}
@@ -202,6 +202,47 @@ def parse_event_calls(spark, sf_dir):
     return rows.select("event_id", "p.name", "p.args")
 
 
+# --- files, written and read again -----------------------------------------------------------
+
+
+@query("SELECT 'retail:' || conv_id AS task_key, CAST(conv_id % 3 AS INT) AS trial, count(*) AS messages, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars FROM conversations WHERE conv_id % 2 = 1 GROUP BY conv_id")
+def trajectory_files(spark, sf_dir):
+    # Files of JSON arrays with 64 conversations each, of which every other one is a success.
+    said = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    whole = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(said, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("traj"))
+    record = F.struct(F.col("conv_id").alias("task_id"), (F.col("conv_id") % 2).alias("reward"), (F.col("conv_id") % 3).alias("trial"), "traj")
+    files = whole.groupBy(F.floor(F.col("conv_id") / 64).alias("file")).agg(F.to_json(F.collect_list(record)).alias("value"))
+    folder = new_folder(spark)
+    files.write.partitionBy("file").text(folder)
+    rows = trajectories(spark, folder, "*.txt")
+    chars = F.aggregate("traj", F.lit(0).cast("long"), lambda n, m: n + F.coalesce(F.length(m["content"]), F.lit(0)))
+    return rows.select("task_key", "trial", F.size("traj").cast("long").alias("messages"), chars.alias("chars"))
+
+
+@query("SELECT doc_id, quality, toxic FROM labels")
+def json_lines_files(spark, sf_dir):
+    folder, rows = new_folder(spark), table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    write_json_lines(rows, folder)
+    return json_lines(spark, folder, "doc_id long, quality long, toxic long")
+
+
+@query(f"WITH {MESSAGES_SQL} SELECT error_type, count(*) AS n, round_even(count(*) * 100.0 / (SELECT count(*) FROM ev), 2) AS share FROM ev GROUP BY error_type")
+def report_files(spark, sf_dir):
+    folder, rows = new_folder(spark), _events(spark, sf_dir).groupBy("error_type").agg(F.count("*").alias("n"))
+    total = rows.agg(F.sum("n").alias("all"))
+    write_csv(rows.crossJoin(total).select("error_type", "n", F.bround(F.col("n") * 100.0 / F.col("all"), 2).alias("share")), folder, ["error_type", "n", "share"])
+    return spark.read.option("header", True).schema("error_type string, n long, share double").csv(folder)
+
+
+@query("SELECT event_id, event_type FROM events")
+def append_log(spark, sf_dir):
+    folder, rows = new_folder(spark), table(spark, sf_dir, "events").select("event_id", "event_type")
+    schema = "event_id long, event_type string"
+    append_new(rows.where("event_id % 2 = 0"), folder, "event_id", None)
+    append_new(rows, folder, "event_id", json_lines(spark, folder, schema))
+    return json_lines(spark, folder, schema)
+
+
 # --- traces: success, dedup, split, cost -----------------------------------------------------
 
 
@@ -307,7 +348,7 @@ def _arm(spark, d, arm):
     if arm == "random":
         return S.greedy_fill(pool.withColumn("o", S.hash_order(F.col("trace_id"), "random")), ["o", "trace_id"], "cost", budgets, "lang").drop("o")
     if arm == "shortest":
-        return S.greedy_fill(pool, ["cost", "trace_id"], "cost", budgets, "lang", F.col("cost"))
+        return S.greedy_fill(pool, ["cost", "trace_id"], "cost", budgets, "lang", F.struct("cost", F.substring("trace_id", 1, 7)))
     return S.balanced(pool, "trace_id", "cost", "recovery", "lang", budgets)
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: arguments stay text, as files have both JSON text and objects there; reward is text, as it may be a number or true.
@@ -52,15 +55,32 @@ def write_document(spark: SparkSession, value, path: str) -> None:
 
 def append_new(rows: DataFrame, path: str, key: str, done: DataFrame | None) -> DataFrame:
     """Appends the rows whose key isn't done yet and gives them; for logs that are resumed."""
-    new = rows if done is None else rows.join(done.select(key), key, "left_anti")
+    new = (rows if done is None else rows.join(done.select(key), key, "left_anti")).dropDuplicates([key])
     new.write.mode("append").json(path)
     return new
 
 
-def file_digests(spark: SparkSession, pattern: str) -> DataFrame:
-    """name and SHA-256 of every matching file."""
+@F.pandas_udf("string")
+def _streamed_sha256(paths: pd.Series) -> pd.Series:
+    """SHA-256 of files, read a megabyte at a time."""
+
+    def digest(uri: str) -> str:
+        system, path = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1) if "://" in uri else "file://" + uri.removeprefix("file:"))
+        out = hashlib.sha256()
+        with system.open_input_stream(path) as f:
+            while part := f.read(1 << 20):
+                out.update(part)
+        return out.hexdigest()
+
+    return paths.map(digest)
+
+
+def file_digests(spark: SparkSession, pattern: str, whole: int = 256 << 20) -> DataFrame:
+    """name and SHA-256 of every matching file; those of over whole bytes are read in pieces, as a cell can't hold them."""
     files = spark.read.format("binaryFile").load(pattern)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    small = files.where(F.col("length") <= whole).select(name, F.sha2("content", 256).alias("sha256"))
+    return small.union(files.where(F.col("length") > whole).select(name, _streamed_sha256("path").alias("sha256")))
 
 
 def checkpoint_fingerprint(spark: SparkSession, folder: str | None, names: tuple[str, ...] = ("adapter_config.json", "adapter_model.safetensors")) -> str:
@@ -70,8 +90,6 @@ def checkpoint_fingerprint(spark: SparkSession, folder: str | None, names: tuple
     found = {r["name"]: r["sha256"] for r in file_digests(spark, f"{folder}/*").where(F.col("name").isin(*names)).collect()}
     if missing := [n for n in names if n not in found]:
         raise FileNotFoundError(f"incomplete checkpoint: {missing}")
-    import hashlib
-
     return hashlib.sha256("".join(n + found[n] for n in names).encode()).hexdigest()
 
 

@@ -82,6 +82,10 @@ def test_files(spark, tmp_path):
         T.checkpoint_fingerprint(spark, f"{tmp_path}/ad")
     (tmp_path / "ad" / "adapter_model.safetensors").write_bytes(b"x")
     assert len(T.checkpoint_fingerprint(spark, f"{tmp_path}/ad")) == 64
+    digests = [sorted(map(tuple, T.file_digests(spark, f"{tmp_path}/ad/*", whole).collect())) for whole in (0, 100)]
+    assert digests[0] == digests[1] and len(digests[0]) == 2
+    again = T.append_new(rows.union(rows), f"{tmp_path}/log3", "id", None)
+    assert again.count() == 2
 
 
 def test_row_set_digest_ignores_order(spark):
