@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType
 
 #: arguments stay text, as files have both JSON text and objects there; reward is text, as it may be a number or true.
 TRAJECTORY = "task_id string, reward string, trial int, traj array<struct<role:string, name:string, content:string, tool_calls:array<struct<function:struct<name:string, arguments:string>>>>>"
@@ -60,7 +61,7 @@ def append_new(rows: DataFrame, path: str, key: str, done: DataFrame | None) ->
     return new
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _streamed_sha256(paths: pd.Series) -> pd.Series:
     """SHA-256 of files, read a megabyte at a time."""
 
