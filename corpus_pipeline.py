@@ -2,7 +2,8 @@
 
 Each stage is a function of (spark, docs, sf_dir) on all that the one before kept.
 run() writes every stage's result to the shared folder and reads it again, so a stage
-has no lineage beyond its input and a lost executor repeats little.
+has no lineage beyond its input and a lost executor repeats little; then it deletes what
+the stage left there besides.
 """
 
 from __future__ import annotations
@@ -11,38 +12,52 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomline.llm import bpe, decontam, line_dedup, ngram_join, quality
-from loomline.llm.exchange import landed
+from loomline.llm.exchange import scratch, shared_dir
+
+
+_USED = ("doc_id", "text", "source")
+
+
+def _apart(docs: DataFrame) -> tuple[DataFrame, list]:
+    """docs with its other columns renamed, so that none has a name that an operator adds; and the columns as they were."""
+    own = {c: f"__own__{c}" for c in docs.columns if c not in _USED}
+    return docs.withColumnsRenamed(own), [F.col(own.get(c, c)).alias(c) for c in docs.columns]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality rules keep."""
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    safe, columns = _apart(docs)
+    return quality.judge(safe).where("kept").select(*columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the lines that match earlier ones; those left without any word go.
 
-    n_chars is counted anew.
+    n_chars, if there is one, is counted anew.
     """
     left = line_dedup.dedup(docs).where(F.col("text").rlike("[^ \\t-\\r]"))
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left.select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class of near duplicates; rows that repeat an id and its text are one."""
-    first = ngram_join.classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = first.select(F.col("doc_id").alias("first_id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    named = kept.withColumn("__text__", F.xxhash64("text"))
-    if not docs.groupBy("doc_id", F.xxhash64("text").alias("t")).count().where("count > 1").isEmpty():
-        named = named.dropDuplicates(["doc_id", "__text__"])
-    return named.select(*docs.columns)
+    safe, columns = _apart(docs)
+    first = ngram_join.classes(safe).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = first.select(F.col("doc_id").alias("__first__")).distinct()
+    kept = safe.join(first, F.col("doc_id").eqNullSafe(F.col("__first__")), "left_semi")
+    text = F.xxhash64("text")
+    if not safe.groupBy("doc_id", text.alias("t")).count().where("count > 1").isEmpty():
+        kept = kept.withColumn("__text__", text).dropDuplicates(["doc_id", "__text__"])
+    return kept.select(*columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that aren't contaminated by the benchmark's passages."""
+    safe, columns = _apart(docs)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontam.mark(docs, benchmark).where(~decontam.contaminated()).select(*docs.columns)
+    return decontam.mark(safe, benchmark).where(~decontam.contaminated()).select(*columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,5 +81,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over the documents of a folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = landed(stage(spark, docs, sf_dir))
+        path = shared_dir(spark)
+        with scratch(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
     return docs

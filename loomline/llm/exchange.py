@@ -33,6 +33,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +60,24 @@ def shared_dir(spark: SparkSession) -> str:
         root = "file://" + tempfile.mkdtemp(prefix="loomline-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/loomline-{uuid.uuid4().hex}"
+    _made.append(f"{root.rstrip('/')}/loomline-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+_made: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the folders that shared_dir() names within, at the end; what is read from them must be written by then."""
+    first = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[first:]:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        del _made[first:]
 
 
 def landed(df: DataFrame) -> DataFrame:

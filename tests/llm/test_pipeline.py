@@ -33,3 +33,20 @@ def test_line_dedup_stage_drops_short_repeats(spark):
     made = [(i, f"{line}\n{' '.join(f'w{i}x{k}' for k in range(9))}", "en", "s", 9) for i in (1, 2, 3)]
     out = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_lines(spark, spark.createDataFrame(made, docs.schema), SF).collect()}
     assert [i for i in out if line in out[i]] == [1] and len(out) == 3
+
+
+def test_empty_and_awkward_tables(spark, tmp_path):
+    odd = [(1, None, "en", None, None), (2, "", "en", "s", 0), (3, " \n\t ", None, "s", 4), (4, "one line only " * 20, "en", "s", 9), (4, "one line only " * 20, "en", "s", 9), (None, "no id " * 30, "en", None, 9), (5, "long " * 40_000, "en", "s", 9)]
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    names = ("first_id", "__first__", "kept", "n_words", "hit_spans", "removed", "component_id", "ids", "n", "words_left")
+    docs = spark.createDataFrame(odd, schema)
+    for made, columns in ((docs.limit(0), 0), (docs, 0), (docs, len(names))):
+        out = made.withColumns({c: corpus_pipeline.F.lit("mine") for c in names[:columns]})
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            more = stage(spark, out, SF)
+            assert more.columns == out.columns and [r[-columns:] for r in more.collect() if columns] == [("mine",) * columns] * (more.count() if columns else 0), name
+    folder = f"file://{tmp_path}"
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+    clean = " ".join(f"w{i}" for i in range(60))
+    spark.createDataFrame([*odd, (7, clean, "en", "s", 9)], schema).write.parquet(f"{folder}/documents.parquet")
+    assert [r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()] == [7]
