@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, line_dedup, ngram_join, quality, url_filter
+from . import decontam, ngram_join, url_filter
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACE = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
@@ -16,15 +16,15 @@ def _low(column: str) -> str:
 OP3 = f"""
 WITH l AS (SELECT doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS x FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
 a AS (SELECT doc_id, line, {_SPACE.format(_low("x"))} AS w FROM l),
-s AS (SELECT doc_id, line, list_sort(list_distinct(w)) AS ws FROM a WHERE len(list_distinct(w)) >= {line_dedup.MIN_WORDS}),
+s AS (SELECT doc_id, line, list_sort(list_distinct(w)) AS ws FROM a WHERE len(w) > 0),
 u AS (SELECT ws, min({{'d': doc_id, 'l': line}}) AS first, row_number() OVER () AS sid FROM s GROUP BY ws),
 t AS (SELECT sid, first, len(ws) AS n, unnest(ws) AS word FROM u),
 f AS (SELECT word, count(*) AS df FROM t GROUP BY word),
 p AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY df, word) AS pos FROM t JOIN f USING (word)),
-q AS (SELECT * FROM p WHERE pos <= n - (n * {line_dedup.PERCENT} + 99) // 100 + 1),
-c AS (SELECT DISTINCT x.sid AS a, y.sid AS b FROM q x JOIN q y ON x.word = y.word AND x.first < y.first WHERE least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {line_dedup.PERCENT}),
+q AS (SELECT * FROM p WHERE pos <= n - (n * 80 + 99) // 100 + 1),
+c AS (SELECT DISTINCT x.sid AS a, y.sid AS b FROM q x JOIN q y ON x.word = y.word AND x.first < y.first WHERE least(x.n, y.n) * 100 >= greatest(x.n, y.n) * 80),
 near AS (SELECT DISTINCT b AS sid FROM c JOIN u x ON x.sid = c.a JOIN u y ON y.sid = c.b
-  WHERE len(list_intersect(x.ws, y.ws)) * 100 >= (len(x.ws) + len(y.ws) - len(list_intersect(x.ws, y.ws))) * {line_dedup.PERCENT}),
+  WHERE len(list_intersect(x.ws, y.ws)) * 100 >= (len(x.ws) + len(y.ws) - len(list_intersect(x.ws, y.ws))) * 80),
 gone AS (SELECT s.doc_id, s.line FROM s JOIN u ON s.ws = u.ws WHERE {{'d': s.doc_id, 'l': s.line}} <> u.first OR sid IN (SELECT sid FROM near)),
 g AS (SELECT doc_id, count(*) AS n_removed, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS removed FROM gone GROUP BY doc_id),
 m AS (SELECT doc_id, count(*) FILTER (len(w) > 0) AS n_lines FROM a GROUP BY doc_id)
@@ -59,16 +59,16 @@ rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(
 l AS (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d),
 n AS (SELECT doc_id, host, text, line, {_SPACE.format(_low("line"))} AS lw FROM l),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM n WHERE len(lw) > 0 GROUP BY doc_id),
-fr AS (SELECT host, lw, count(DISTINCT text) AS c FROM n WHERE len(lw) > 0 GROUP BY host, lw),
-ho AS (SELECT host, count(DISTINCT text) AS c FROM d GROUP BY host),
-bad AS (SELECT fr.host, lw FROM fr JOIN ho ON fr.host = ho.host WHERE fr.c > {quality.MAX_TEXTS} AND fr.c > ho.c * {quality.MAX_SHARE}),
+fr AS (SELECT host, lw, count(DISTINCT text) AS c, count(DISTINCT doc_id) AS docs FROM n WHERE len(lw) > 0 GROUP BY host, lw),
+ho AS (SELECT host, count(*) AS docs FROM d GROUP BY host),
+bad AS (SELECT fr.host, lw FROM fr JOIN ho ON fr.host = ho.host WHERE fr.c > 20 AND fr.docs > ho.docs * 0.05),
 gone AS (SELECT doc_id, sum(len(n.lw)) AS n FROM n JOIN bad ON n.host = bad.host AND n.lw = bad.lw GROUP BY doc_id),
 x AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS gone
   FROM d LEFT JOIN rep ON d.doc_id = rep.doc_id LEFT JOIN dup ON d.doc_id = dup.doc_id LEFT JOIN gone ON d.doc_id = gone.doc_id),
-y AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM x)
+y AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM x)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND n_words - gone >= {quality.MIN_WORDS} AND n_words - gone >= n_words * {quality.MIN_LEFT} AS kept
+  NOT base_failed AND n_words - gone >= 20 AND n_words - gone >= n_words * 0.5 AS kept
 FROM y
 """
 

@@ -1,9 +1,10 @@
 """Quality rules with DataFrame functions only.
 
 Rules on the text alone are in-row expressions.  The cross-document rule hashes each
-normalised line, counts the distinct texts of each host that have it, takes lines in
-too many of a host's texts for boilerplate, and rejects documents of which too little
-is left without them.
+normalised line, counts the distinct documents of each host that have it, takes lines in
+too many of a host's documents for boilerplate, and rejects documents of which too little
+is left without them.  Exact copies are documents as others, but a line must also be in
+several different texts of the host, so that a group of copies isn't its own boilerplate.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .exchange import landed
 
-#: A line is boilerplate if more than so many of a host's distinct texts, and more than this share of them, have it.
+#: A line is boilerplate if more than so many different texts of a host, and more than this share of its documents, have it.
 MAX_TEXTS, MAX_SHARE = 20, 0.05
 #: A document is rejected if fewer words, or a smaller share of its words, are left.
 MIN_WORDS, MIN_LEFT = 20, 0.5
@@ -35,7 +36,7 @@ def repeated_words(of: Column, window: int = REPEAT_WINDOW) -> Column:
     """Words inside runs of window words that occur twice or more in the array."""
 
     def places(hashes: Column) -> Column:
-        paired = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        paired = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
         def same(s: Column) -> Column:
             last = F.size(s) - 1
@@ -45,7 +46,7 @@ def repeated_words(of: Column, window: int = REPEAT_WINDOW) -> Column:
                 after = (i < last) & (F.get(s, i + 1)["h"] == e["h"])
                 return F.when(F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False)), e["i"])
 
-            return F.array_sort(F.filter(F.transform(s, mark), lambda x: x.isNotNull()))
+            return F.sort_array(F.filter(F.transform(s, mark), lambda x: x.isNotNull()))
 
         return _let(paired, same)
 
@@ -90,16 +91,21 @@ def _lines(docs: DataFrame, text: str) -> DataFrame:
     return docs.select("__id__", "__host__", "__text__", F.posexplode(counted).alias("at", "x")).where("x.n > 0").select("__id__", "__host__", "__text__", "at", "x.line", "x.n")
 
 
-def boilerplate(lines: DataFrame, docs: DataFrame, max_texts: int, max_share: float) -> DataFrame:
-    """__host__ and line of the lines that too many distinct texts of a host have.
+def boilerplate(docs: DataFrame, text: str, max_texts: int, max_share: float) -> DataFrame:
+    """__host__ and line of the lines that too many documents of a host have.
 
-    Counted by partial sums over (host, line, text), then over (host, line), so
-    neither a hot host nor a line on every page gathers in a task.
+    Every document gives each of its lines once.  Counted by partial sums over (host,
+    line, text), then over (host, line), so neither a hot host nor a line on every page
+    gathers in a task.
     """
-    texts = lines.groupBy("__host__", "line", "__text__").agg(F.lit(1).alias("one")).groupBy("__host__", "line").agg(F.count("*").alias("n_texts"))
+    value = F.translate(F.coalesce(F.col(text), F.lit("")), _UPPER, _LOWER)
+    hashed = F.transform(F.split(value, "\n"), lambda x: F.array_join(words(x), " "))
+    once = F.array_distinct(F.transform(F.filter(hashed, lambda x: x != ""), lambda x: F.xxhash64(x)))
+    lines = docs.select("__host__", "__text__", F.explode(once).alias("line"))
+    texts = lines.groupBy("__host__", "line", "__text__").agg(F.count("*").alias("n_docs")).groupBy("__host__", "line").agg(F.count("*").alias("n_texts"), F.sum("n_docs").alias("n_docs"))
     often = texts.where(F.col("n_texts") > max_texts)
-    hosts = docs.groupBy("__host__", "__text__").agg(F.lit(1).alias("one")).groupBy("__host__").agg(F.count("*").alias("n_host"))
-    return often.join(hosts, "__host__").where(F.col("n_texts") > F.col("n_host") * max_share).select("__host__", "line")
+    hosts = docs.groupBy("__host__").agg(F.count("*").alias("n_host"))
+    return often.join(hosts, "__host__").where(F.col("n_docs") > F.col("n_host") * max_share).select("__host__", "line")
 
 
 def judge(
@@ -114,15 +120,15 @@ def judge(
 ) -> DataFrame:
     """docs with the features, words_left (without boilerplate lines) and kept.
 
-    Exact copies count once for a host, so copies alone never make their lines
-    boilerplate.  A null host is a host of its own, the empty one; a null text is
+    Every row counts as a document of its host; copies of one text are one text, so
+    copies alone never make their lines boilerplate.  A null host is a host of its own, the empty one; a null text is
     empty and fails.  Equal rows get equal results; rows that share an id but differ
     in host or text are judged apart.
     """
     keyed = {"__id__": F.col(doc_id), "__host__": F.coalesce(F.col(host), F.lit("")), "__text__": F.xxhash64(F.coalesce(F.col(text), F.lit("")))}
     slim = docs.select(*(v.alias(k) for k, v in keyed.items()), F.col(text))
     lines = _lines(slim, text)
-    bad = landed(boilerplate(lines, slim, max_texts, max_share))
+    bad = landed(boilerplate(slim, text, max_texts, max_share))
     bad = bad.select(F.xxhash64("__host__", "line").alias("k"))
     hit = lines.withColumn("k", F.xxhash64("__host__", "line")).join(bad, "k", "left_semi")
     # Repeated rows give the same lines at the same places, which count once.

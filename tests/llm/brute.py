@@ -86,20 +86,20 @@ def op7(pages):
     return out
 
 
-def pieces(word, vocab):
+def pieces(word, vocab, longest=None):
     """Greedy longest-match pieces of a word's symbols; vocab: set of symbol tuples."""
-    symbols, at, n = [*word, 256], 0, 0
+    symbols, at, n, longest = [*word, 256], 0, 0, longest or max(map(len, vocab))
     while at < len(symbols) and symbols[at:] != [256]:
-        at += next((k for k in range(len(symbols) - at, 1, -1) if tuple(symbols[at : at + k]) in vocab), 1)
+        at += next((k for k in range(min(longest, len(symbols) - at), 1, -1) if tuple(symbols[at : at + k]) in vocab), 1)
         n += 1
     return n
 
 
 def op8(docs, vocab):
-    known, out = set(vocab), []
+    known, out, longest = set(vocab), [], max(map(len, vocab))
     for i, text in docs:
         words = space_words(lower(text))
-        out.append((i, len(words), sum(pieces(w.encode(), known) for w in words)))
+        out.append((i, len(words), sum(pieces(w.encode(), known, longest) for w in words)))
     return out
 
 
@@ -125,14 +125,12 @@ def op9_base(docs):
 
 def op9_kept(docs, max_texts, max_share, min_words=20, min_left=0.5):
     """Verdicts of (doc_id, host, text) rows, in order."""
-    texts, hosts = defaultdict(set), defaultdict(set)
+    having, hosts = defaultdict(list), Counter(host or "" for _, host, _ in docs)
     norm = lambda line: " ".join(space_words(lower(line)))
     for _, host, text in docs:
-        hosts[host or ""].add(text or "")
-        for line in (text or "").split("\n"):
-            if norm(line):
-                texts[host or "", norm(line)].add(text or "")
-    bad = {k for k, v in texts.items() if len(v) > max_texts and len(v) > len(hosts[k[0]]) * max_share}
+        for line in {norm(x) for x in (text or "").split("\n")} - {""}:
+            having[host or "", line].append(text or "")
+    bad = {k for k, v in having.items() if len(set(v)) > max_texts and len(v) > hosts[k[0]] * max_share}
     out = []
     for (_, host, text), base in zip(docs, op9_base([(d[0], d[2]) for d in docs]), strict=True):
         left = sum(len(space_words(line)) for line in (text or "").split("\n") if (host or "", norm(line)) not in bad)
