@@ -6,18 +6,27 @@ one kept hash.  Documents' and items' kept hashes are joined, and each hit is
 extended to the 13-word windows around it.  Items of fewer than 13 words are one
 window each, looked for with hashes of their own length.
 
-The benchmark is a stated query set: it's indexed in blocks of bounded text, each of
-which all documents pass in turn, without a shuffle.  Documents of any source, copies
-and common passages cost no more than others, as rows never meet.
+The benchmark is a stated query set: tasks index blocks of it, of bounded text, and write
+them to the shared folder; documents' fingerprints meet the indexes where the documents
+are, one index after the other, without a shuffle.  So neither the driver nor a broadcast
+holds any of it.  Documents of any source, copies and common passages cost no more than
+others, as rows never meet.
+
+Words are told apart by 64-bit hashes, windows by two hashes of those.
 """
 
 from __future__ import annotations
 
+import pickle
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .arrays import ALNUM_WORD, LOWER, blocks, mix, span_hashes, spans, text_buffers, windows
+from .exchange import joined, shared_dir
+from .files import Bundle, fetch
 
 WINDOW, GRAM = 13, 8
 #: Bytes of benchmark text in a block; an index takes about six times as much.
@@ -127,17 +136,28 @@ class Index:
         return first, np.cumsum(cover[:-1]) > 0, pairs[:, 0], pairs[:, 1]
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str):
-    ids, texts, size = [], [], 0
-    for row in benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string"), F.col(text)).toLocalIterator():
-        ids.append(row[0])
-        texts.append(row[1])
-        size += len((row[1] or "").encode())
-        if size >= QUERY_BLOCK_BYTES:
-            yield Index(ids, texts)
-            ids, texts, size = [], [], 0
-    if ids:
-        yield Index(ids, texts)
+def index_files(benchmark: DataFrame, item_id: str, text: str) -> list[str]:
+    """Indexes blocks of the benchmark's items and gives the files' addresses, one for each block."""
+    spark = benchmark.sparkSession
+    items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text"))
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    folder = shared_dir(spark)
+
+    def run(stream):
+        held = [b for b in stream if b.num_rows]
+        if held:
+            rows = joined(held)
+            with Bundle(folder) as out:
+                address = out.add(pickle.dumps(Index(rows["item"].to_pylist(), rows["text"].to_pylist())))
+            yield pa.record_batch({"address": pa.array([address.decode()])})
+
+    parts = -(-size // QUERY_BLOCK_BYTES)
+    return sorted(r["address"] for r in items.repartition(max(1, parts), "item").mapInArrow(run, "address string").collect())
+
+
+@lru_cache(2)
+def _index(address: str) -> Index:
+    return pickle.loads(fetch(address.encode()))
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -151,49 +171,34 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     added = [f.name for f in _ADDED]
     docs = docs.drop(*added)
     keep = [c for c in (keep or docs.columns) if c not in added]
-    spark = docs.sparkSession
-    out = docs.withColumns({"n_words": F.lit(None).cast("long"), "hit_spans": F.lit(None).cast(_SPANS), "hit_items": F.lit(None).cast("array<string>")})
-    queries = list(_blocks(benchmark, item_id, item_text)) or [Index([], [])]
-    for k, query in enumerate(queries):
-        index, last = spark.sparkContext.broadcast(query), k == len(queries) - 1
-        columns = keep if last else docs.columns
-        schema = T.StructType([*(docs.schema[c] for c in columns), *_ADDED])
-
-        def run(stream, index=index, columns=columns):
-            for rows in stream:
-                data, offsets = text_buffers(rows[text])
-                for a, b, part, offs in blocks(data, offsets):
-                    piece = rows.slice(a, b - a)
-                    first, hit, row, item = index.value.hits(part, offs)
-                    yield pa.RecordBatch.from_arrays(
-                        [*(piece[c] for c in columns), pa.array(np.diff(first)), *_merged(piece, first, hit, row, item, index.value.ids)],
-                        names=[*columns, *added],
-                    )
-
-        out = out.mapInArrow(run, schema)
-    return out
-
-
-def _merged(piece: pa.RecordBatch, first: np.ndarray, hit: np.ndarray, row: np.ndarray, item: np.ndarray, ids: list[str]) -> tuple[pa.Array, pa.Array]:
-    starts, stops, at = spans(hit, first)
-    starts, stops = starts - np.repeat(first[:-1], np.diff(at)), stops - np.repeat(first[:-1], np.diff(at))
-    found: list[list] = [[] for _ in range(len(first) - 1)]
-    for r, i in zip(row.tolist(), item.tolist(), strict=True):
-        found[r].append(ids[i])
-    if piece["n_words"].null_count == piece.num_rows:
-        merged = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], ["start", "stop"]))
-        return merged.cast(_ARROW_SPANS), pa.array([sorted(set(x)) for x in found], pa.list_(pa.string()))
-    lists, names = [], []
-    for r, (old, had) in enumerate(zip(piece["hit_spans"].to_pylist(), piece["hit_items"].to_pylist(), strict=True)):
-        both, out = sorted([(x["start"], x["stop"]) for x in old] + list(zip(starts[at[r] : at[r + 1]].tolist(), stops[at[r] : at[r + 1]].tolist(), strict=True))), []
-        for s, e in both:
-            if out and s <= out[-1]["stop"]:
-                out[-1]["stop"] = max(out[-1]["stop"], e)
-            else:
-                out.append({"start": s, "stop": e})
-        lists.append(out)
-        names.append(sorted({*had, *found[r]}))
-    return pa.array(lists, _ARROW_SPANS), pa.array(names, pa.list_(pa.string()))
+    indexes = index_files(benchmark, item_id, item_text)
+
+    def run(stream):
+        for rows in stream:
+            data, offsets = text_buffers(rows[text])
+            cuts, found = list(blocks(data, offsets)), {}
+            for address in indexes:
+                index = _index(address)
+                for a, _, part, offs in cuts:
+                    first, hit, row, item = index.hits(part, offs)
+                    old = found.setdefault(a, (first, np.zeros(len(hit), bool), [set() for _ in range(len(offs) - 1)]))
+                    old[1][:] |= hit
+                    for r, i in zip(row.tolist(), item.tolist(), strict=True):
+                        old[2][r].add(index.ids[i])
+            for a, b, part, offs in cuts:
+                first, hit, items = found.get(a) or (word_hashes(part, offs)[1], None, [()] * (len(offs) - 1))
+                piece = rows.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*(piece[c] for c in keep), pa.array(np.diff(first)), _spans(first, hit), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=[*keep, *added])
+
+    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), *_ADDED]))
+
+
+def _spans(first: np.ndarray, hit: np.ndarray | None) -> pa.Array:
+    """The runs of hit words of each row, by their places in it."""
+    starts, stops, at = spans(np.zeros(int(first[-1]), bool) if hit is None else hit, first)
+    before = np.repeat(first[:-1], np.diff(at))
+    runs = pa.StructArray.from_arrays([pa.array(starts - before, pa.int32()), pa.array(stops - before, pa.int32())], ["start", "stop"])
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), runs).cast(_ARROW_SPANS)
 
 
 def n_hit():

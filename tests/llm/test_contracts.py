@@ -4,7 +4,7 @@ import public_tokenizers as P
 import pytest
 
 import brute
-from loomline.llm import bpe, decontam, quality, queries, token_counts, token_store, warc
+from loomline.llm import bpe, decontam, line_dedup, lm_scoring, ngram_join, quality, queries, token_counts, token_store, warc
 
 SF = "/root/testdata/sf0.001"
 PASSAGE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
@@ -23,6 +23,23 @@ AWKWARD = [
 ]
 
 
+def long_words():
+    """Words of 1 to 4 KB of two letters in self-similar orders, which sums of powers can't tell apart, and others that differ in one place."""
+    order = [bin(k).count("1") % 2 for k in range(4096)]
+    out = []
+    for n in (1024, 2048, 4096):
+        out += ["".join("ab"[x] for x in order[:n]), "".join("ba"[x] for x in order[:n])]
+        out.append(out[-1][:700] + ("a" if out[-1][700] == "b" else "b") + out[-1][701:])
+    return out
+
+
+@pytest.fixture(scope="session")
+def structured(spark):
+    words = long_words()
+    docs = [(i, f"{w} and {words[i - 1]}  {w}\n{w} one two three") for i, w in enumerate(words)]
+    return spark.createDataFrame(docs + [(50, docs[0][1]), (51, docs[1][1] + " more")], "doc_id long, text string")
+
+
 @pytest.fixture(scope="session")
 def awkward(spark):
     return spark.createDataFrame(AWKWARD, "doc_id long, text string, lang string, source string, n_chars long")
@@ -41,18 +58,18 @@ def pairs(df, a="doc_id", b="text"):
 
 
 def same(got, want):
-    assert got == sorted(want, key=repr)
+    assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("which", ["table", "awkward", "empty"])
-def test_byte_bpe(spark, awkward, which):
-    docs = {"table": table(spark, "documents"), "awkward": awkward, "empty": awkward.limit(0)}[which]
+@pytest.mark.parametrize("which", ["table", "awkward", "empty", "structured"])
+def test_byte_bpe(spark, awkward, structured, which):
+    docs = {"table": table(spark, "documents"), "awkward": awkward, "empty": awkward.limit(0), "structured": structured}[which]
     same(rows(bpe.round_trip_digests(docs, P.path("byte_bpe_50k.tiktoken")), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256"), brute.op6(pairs(docs)))
 
 
-@pytest.mark.parametrize("which", ["table", "awkward", "empty"])
-def test_token_store(spark, awkward, which):
-    docs = {"table": table(spark, "documents"), "awkward": awkward, "empty": awkward.limit(0)}[which]
+@pytest.mark.parametrize("which", ["table", "awkward", "empty", "structured"])
+def test_token_store(spark, awkward, structured, which):
+    docs = {"table": table(spark, "documents"), "awkward": awkward, "empty": awkward.limit(0), "structured": structured}[which]
     same(rows(token_store.store_and_read(docs, P.path("byte_bpe_50k.json")), "doc_id", "start", "n_tokens", "ids_crc32"), brute.op2(pairs(docs)))
 
 
@@ -77,10 +94,10 @@ def test_token_file_random_access():
     assert f.known.tolist() == [True, False]
 
 
-@pytest.mark.parametrize("which", ["table", "awkward", "empty"])
-def test_decontamination(spark, awkward, which):
-    docs = {"table": table(spark, "documents"), "awkward": awkward, "empty": awkward.limit(0)}[which]
-    extra = spark.createDataFrame([(900, PASSAGE), (901, "Seven Eight, nine"), (902, ""), (None, "word"), (903, None), (904, PASSAGE), (9, "a b c d e f g h a b c d e f g h a b")], "item_id long, text string")
+@pytest.mark.parametrize("which", ["table", "awkward", "empty", "structured"])
+def test_decontamination(spark, awkward, structured, which):
+    docs = {"table": table(spark, "documents"), "awkward": awkward, "empty": awkward.limit(0), "structured": structured}[which]
+    extra = spark.createDataFrame([(900, PASSAGE), (901, "Seven Eight, nine"), (902, ""), (None, "word"), (903, None), (904, PASSAGE), (905, long_words()[0]), (906, f"{long_words()[3]} and"), (9, "a b c d e f g h a b c d e f g h a b")], "item_id long, text string")
     items = table(spark, "benchmark").unionByName(extra)
     got = rows(decontam.contamination(docs, items), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     same(got, brute.op5(pairs(docs), pairs(items, "item_id")))
@@ -115,9 +132,9 @@ def test_warc_lookup(tmp_path):
     assert head["WARC-Record-ID"] == "<urn:page:7>" and body.endswith(b"H" * 100)
 
 
-@pytest.mark.parametrize("which", ["table", "awkward", "empty"])
-def test_token_counts(spark, awkward, which):
-    docs = {"table": table(spark, "documents"), "awkward": awkward, "empty": awkward.limit(0)}[which]
+@pytest.mark.parametrize("which", ["table", "awkward", "empty", "structured"])
+def test_token_counts(spark, awkward, structured, which):
+    docs = {"table": table(spark, "documents"), "awkward": awkward, "empty": awkward.limit(0), "structured": structured}[which]
     path = P.path("word_bpe_49k.json")
     same(rows(token_counts.count(docs.select("doc_id", "text"), path, keep=["doc_id"]), "doc_id", "n_words", "n_pieces"), brute.op8(pairs(docs), token_counts.vocabulary(path)))
 
@@ -156,8 +173,29 @@ def test_quality_plan_is_native(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_words_are_told_apart_by_bytes(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "span_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    words = bpe.Words(pa.array(["a b a", None, "c b"]))
+    data = words.data.tobytes()
+    assert [data[s:e] for s, e in zip(words.starts, words.ends, strict=True)] == [b"a", b" b", b" a", b"c", b" b"]
+    assert len(words.keys) == 4 and words.place[1] == words.place[4] and len(set(words.place.tolist())) == 4
+    known, raw, one = token_store._Known(), np.frombuffer(b"abcdef", np.uint8), np.array([1])
+    known.add(np.array([5], np.uint64), b"ab", np.array([2]), np.array([7], "<u4"), one)
+    at = lambda start, n: known.find(np.array([5], np.uint64), raw, np.array([start]), np.array([n]))[0]
+    assert (at(0, 2), at(2, 2), at(0, 3)) == (0, -1, -1)
+
+
 def test_columns_with_clashing_names(spark, awkward):
-    odd = awkward.withColumns({c: awkward["lang"] for c in ("ids", "decoded", "n_words", "hit_spans", "n_pieces", "kept", "words_left", "gone", "k")})
+    names = ("ids", "decoded", "n_words", "hit_spans", "n_pieces", "kept", "words_left", "gone", "k", "fold", "score", "start", "d", "th", "line", "n_lines", "removed", "target", "batch", "part", "payload", "n", "set_key", "token", "tokens", "label", "component_id", "class", "again_id", "refers_to", "path")
+    odd = awkward.withColumns({c: awkward["lang"] for c in names})
+    for op in (lm_scoring.score, line_dedup.find, line_dedup.dedup, ngram_join.classes):
+        assert op(odd).count() == len(AWKWARD), op
+    same(sorted(repr(r["removed"]) for r in line_dedup.dedup(odd).collect()), [repr(r[2]) for r in AWKWARD])
+    assert token_store.store_and_read(odd, P.path("byte_bpe_50k.json")).count() == len(AWKWARD)
+    assert warc.archive_and_read(odd.withColumnsRenamed({"doc_id": "page_id", "text": "html", "source": "url"})).count() == len(AWKWARD)
     assert bpe.encode(odd, "text", P.path("byte_bpe_50k.tiktoken")).count() == len(AWKWARD)
     assert decontam.mark(odd, table(spark, "benchmark")).count() == len(AWKWARD)
     assert token_counts.count(odd, P.path("word_bpe_49k.json")).count() == len(AWKWARD)
