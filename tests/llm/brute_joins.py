@@ -70,6 +70,46 @@ def op1_base(docs):
     return [(d, held(d), len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)) for (d, _), ws in zip(docs, tokens, strict=True)]
 
 
+def op1_score(docs, rounds=30, settled=1e-3, buckets=25):
+    """The model's log10 probability of every text, position by position."""
+    fold = [zlib.crc32(str("" if d is None else d).encode()) % 10 for d, _ in docs]
+    tokens = [[*brute.space_words(brute.lower(t)), None] for _, t in docs]
+
+    def counts(of):
+        word, pair = Counter(), Counter()
+        for f, ws in zip(fold, tokens, strict=True):
+            if of(f):
+                word.update(ws)
+                pair.update(zip(["", *ws], ws, strict=False))
+        return word, pair
+
+    def parts(word, pair, ws, n, uniform):
+        for v, w in zip(["", *ws], ws, strict=False):
+            context = word[None] if v == "" else word[v]
+            yield min(math.frexp(context)[1], buckets - 1), (pair[v, w] / max(1, context), word[w] / max(1, n), uniform)
+
+    word, pair = counts(lambda f: f > 0)
+    uniform, kept = 1 / (len(word) + 1), counts(lambda f: f > 1)
+    held = [x for f, ws in zip(fold, tokens, strict=True) if f == 1 for x in parts(*kept, ws, sum(kept[0].values()), uniform)]
+    weights = {b: (0.4, 0.4, 0.2) for b in range(buckets)}
+    for _ in range(rounds):
+        gained = {b: [0.5] * 3 for b, _ in held}
+        for b, p in held:
+            share = [w * x for w, x in zip(weights[b], p, strict=True)]
+            gained[b] = [g + x / sum(share) for g, x in zip(gained[b], share, strict=True)]
+        new = {b: tuple(x / sum(g) for x in g) for b, g in gained.items()}
+        change = max((abs(x - y) for b in new for x, y in zip(new[b], weights[b], strict=True)), default=0)
+        weights |= new
+        if change < settled:
+            break
+    seen = sorted({b for b, _ in held})
+    for b in set(range(buckets)) - set(seen) if seen else ():
+        weights[b] = weights[max((x for x in seen if x < b), default=seen[0])]
+    weights[0] = (0, weights[0][1] / sum(weights[0][1:]), weights[0][2] / sum(weights[0][1:]))
+    n = sum(word.values())
+    return [sum(math.log10(sum(w * x for w, x in zip(weights[b], p, strict=True))) for b, p in parts(word, pair, ws, n, uniform)) for ws in tokens]
+
+
 def pipeline(docs, items):
     """Rows of the pipeline over (doc_id, source, text) rows with different ids."""
     keep = brute.op9_kept([(d, s, t) for d, s, t in docs], 20, 0.05)
