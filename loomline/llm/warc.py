@@ -21,13 +21,15 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .exchange import shared_dir
+from .exchange import landed, shared_dir
 from .files import read_file, write_file
 
 #: Fixed values of the seekable format and of skippable frames.
 _SEEKABLE, _TABLE_FRAME, _INDEX_FRAME = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-FRAME_BYTES, FILE_BYTES, LEAST_REVISIT = 256 << 10, 64 << 20, 100
+FRAME_BYTES, FILE_BYTES, LEAST_REVISIT = 256 << 10, 16 << 20, 100
+#: Groups of more equal payloads are joined by a broadcast; there are at most rows / LARGE_GROUP of them.
+LARGE_GROUP = 1_000_000
 
 
 def _header_text(value: str | None) -> str:
@@ -110,20 +112,25 @@ def revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """page_id, payload_digest and refers_to of the records that revisit another.
 
     Only ids and digests are shuffled.  The smallest id of each digest is found with
-    partial sums, and the join back deals both sides by a hash of the digest, so a
-    group of copies of any size can be split.  Rows that repeat the response's id
-    stay responses; a null id never is the smallest.
+    partial sums.  The join back deals both sides by digest; the few groups too large
+    for a task are joined where their rows are, by a broadcast of a row for each.  Rows
+    that repeat the response's id stay responses; a null id never is the smallest.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select("page_id", F.sha2(payload, 256).alias("payload_digest"), F.length(payload).alias("n")).where(F.col("n") >= least).drop("n")
-    first = rows.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 AND refers_to IS NOT NULL")
-    first = first.select(F.xxhash64("payload_digest").alias("h"), F.col("payload_digest").alias("d"), "refers_to")
-    found = rows.withColumn("h", F.xxhash64("payload_digest")).join(first, "h").where("payload_digest = d AND NOT (page_id <=> refers_to)")
-    return found.select("page_id", "payload_digest", "refers_to").distinct()
+    rows = landed(pages.select("page_id", F.sha2(payload, 256).alias("payload_digest"), F.length(payload).alias("n")).where(F.col("n") >= least).drop("n"))
+    first = landed(rows.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 AND refers_to IS NOT NULL"))
+    groups = (first.where(F.col("n") <= LARGE_GROUP), F.broadcast(first.where(F.col("n") > LARGE_GROUP)))
+    found, large = (rows.join(g.drop("n"), "payload_digest").where("NOT (page_id <=> refers_to)") for g in groups)
+    return found.union(large).select("page_id", "payload_digest", "refers_to").distinct()
 
 
-def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z") -> list[str]:
-    """Writes a record for every row of pages (page_id, url, html) and gives the bundles' paths."""
+def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+    """Writes a record for every row of pages (page_id, url, html) and gives a table of the bundles' paths.
+
+    A null html is an empty payload, a null url an empty target; other columns aren't
+    written.  A record's identifier is made of its id alone, so lookup() finds the first
+    of rows that repeat an id, or have none; read_archives() gives all of them.
+    """
     again = revisits(pages).select(F.col("page_id").alias("again_id"), F.col("payload_digest").alias("again_digest"), "refers_to")
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("payload_digest", F.sha2("payload", 256))
     rows = rows.join(again, F.expr("page_id <=> again_id AND payload_digest = again_digest"), "left").drop("again_id", "again_digest")
@@ -141,13 +148,13 @@ def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:
                 data = record(page_id, url, payload, digest, refers_to, date)
                 held.append((f"urn:page:{'null' if page_id is None else page_id}", data))
                 size += len(data)
-                if size >= FILE_BYTES // 4:
+                if size >= FILE_BYTES:
                     yield close(count)
                     held, size, count = [], 0, count + 1
         if held:
             yield close(count)
 
-    return sorted(r["path"] for r in rows.mapInArrow(run, "path string").collect())
+    return landed(rows.mapInArrow(run, "path string"))
 
 
 def _number(urn: str | None) -> int | None:
@@ -155,12 +162,10 @@ def _number(urn: str | None) -> int | None:
     return int(text) if text not in ("", "null") else None
 
 
-def read_archives(spark, paths: list[str]) -> DataFrame:
+def read_archives(paths: DataFrame) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type and refers_to of every record; digests of responses are checked."""
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    if not paths:
-        return spark.createDataFrame([], schema)
-    tasks = max(1, min(len(paths), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    tasks = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(stream):
         for block in stream:
@@ -182,10 +187,12 @@ def read_archives(spark, paths: list[str]) -> DataFrame:
                         out.append((_number(head["WARC-Record-ID"]), head["WARC-Target-URI"], length, digest, head["WARC-Type"], _number(head.get("WARC-Refers-To"))))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(tasks).mapInArrow(run, schema)
+    return paths.repartition(tasks).mapInArrow(run, schema)
 
 
 def archive_and_read(pages: DataFrame) -> DataFrame:
-    """The records of pages, written to the shared folder and read back."""
-    spark = pages.sparkSession
-    return read_archives(spark, write_archives(pages, shared_dir(spark))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """The records of pages, written to the shared folder and read back: a row for every row of pages, repeated ones too.
+
+    Nulls and other columns are as of write_archives(); an empty table has no rows.
+    """
+    return read_archives(write_archives(pages, shared_dir(pages.sparkSession))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
