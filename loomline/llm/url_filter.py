@@ -8,7 +8,8 @@ per character, against a threshold calibrated on the labelled URLs that training
 out.
 
 The alphabet bounds the model: with 41 symbols there are at most 41 ** 4 runs of four,
-however large the corpus is, so its tables may be broadcast.
+however large the corpus is.  A table of the model is broadcast if it has been counted to
+have BROADCAST_ROWS at most; larger ones are joined by shuffles.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The alphabet: a-z, one digit sign, these marks, "~" for any other character; "^" and "$" are the ends.
 _MARKS = r"\-./:?=&_#%+"
 _BIN = 0.02
+#: A row of the model takes some 100 bytes, so a broadcast table has 30 MB at most.
+BROADCAST_ROWS = 300_000
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -55,6 +58,11 @@ def grams(urls: DataFrame, *keep: str) -> DataFrame:
     return urls.select(*keep, F.explode(F.transform(F.sequence(F.lit(1), F.length("signs") - ORDER), lambda i: F.substring(F.col("signs"), i, F.lit(ORDER + 1)))).alias("gram"))
 
 
+def _sent(table: DataFrame, rows: int) -> DataFrame:
+    """table, to be broadcast if it's known to have few rows."""
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
 def model(train: DataFrame, wanted: DataFrame) -> DataFrame:
     """gram and ratio, the difference of the log likelihoods of its last character, for all wanted grams.
 
@@ -63,14 +71,15 @@ def model(train: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     sizes = 26 + 1 + len(_MARKS.replace("\\-", "-")) + 2
     counts = landed(train.groupBy("gram").agg(*(F.count(F.when(F.col("label") == w, 1)).alias(w) for w in ("allow", "block"))))
+    most = counts.count()  # no order has more runs than the highest
     out = wanted.select("gram").distinct().withColumns({w: F.lit(1.0 / sizes) for w in ("p_allow", "p_block")})
     for k in range(ORDER + 1):
         part = counts.groupBy(F.substring(F.col("gram"), ORDER + 1 - k, k + 1).alias("g")).agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
         context = part.groupBy(F.substring(F.col("g"), 1, k).alias("c")).agg(
             *(F.sum(w).alias(f"n_{w}") for w in ("allow", "block")), *(F.count(F.when(F.col(w) > 0, 1)).alias(f"t_{w}") for w in ("allow", "block"))
         )
-        out = out.join(F.broadcast(part), F.substring(F.col("gram"), ORDER + 1 - k, k + 1) == F.col("g"), "left")
-        out = out.join(F.broadcast(context), F.substring(F.col("gram"), ORDER + 1 - k, k) == F.col("c"), "left")
+        out = out.join(_sent(part, most), F.substring(F.col("gram"), ORDER + 1 - k, k + 1) == F.col("g"), "left")
+        out = out.join(_sent(context, most), F.substring(F.col("gram"), ORDER + 1 - k, k) == F.col("c"), "left")
         mixed = {}
         for w in ("allow", "block"):
             n, t, c = (F.coalesce(F.col(x), F.lit(0)) for x in (f"n_{w}", f"t_{w}", w))
@@ -120,8 +129,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, page_id: str =
     if len(found) < 2:
         return rows.select("page_id", "host", "path", "rule", F.coalesce("label", F.lit("allow")).alias("verdict"), F.when(F.col("label").isNull(), F.lit(0.0)).alias("score"))
     asked = used.where(F.col("label").isNull() | held).groupBy("url").agg(F.first("signs").alias("signs"), F.first("label").alias("label"))
-    ratios = model(grams(train, "label"), grams(asked))
-    score = grams(asked, "url", "label").join(F.broadcast(ratios), "gram").groupBy("url", "label")
+    ratios = landed(model(grams(train, "label"), grams(asked)))
+    score = grams(asked, "url", "label").join(_sent(ratios, ratios.count()), "gram").groupBy("url", "label")
     score = landed(score.agg((F.sum(F.col("ratio").cast("decimal(28,12)")).cast("double") / F.count("*")).alias("score")))
     limit = threshold(score.where(F.col("label").isNotNull()))
     mine = score.where(F.col("label").isNull()).select(F.xxhash64("url").alias("k"), F.col("url").alias("scored_url"), "score")
