@@ -25,9 +25,10 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.selection import running
 from .arrays import blocks, gather, same_spans, text_buffers, trim
 from .bpe import Words
-from .exchange import input_bytes, shared_dir, stable
+from .exchange import input_bytes, landed, shared_dir, stable
 from .files import read_file, write_file
 
 _MAGIC, _RANK_BITS = b"LLDAC01\n", 512
@@ -269,8 +270,8 @@ def _plain_ids(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return gather(flat, begin[use], count[use]), np.r_[0, np.cumsum(count[use])][words.first]
 
 
-def write_tokens(docs: DataFrame, vocab: str, folder: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0) -> list[tuple[str, int, int]]:
-    """Writes all documents in ascending doc_id order to token files; gives (path, documents, ids) of each file in that order.
+def write_tokens(docs: DataFrame, vocab: str, folder: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
+    """Writes all documents in ascending doc_id order to token files; gives a table of part, count, path, n_docs and n_ids, a row a file in the order of (part, count).
 
     Documents are dealt by ranges of doc_id and sorted, so files follow each other in
     order and a task streams through its range.  A null text is empty and has the end
@@ -308,17 +309,20 @@ def write_tokens(docs: DataFrame, vocab: str, folder: str, doc_id: str = "doc_id
                     held, size, count = [], 0, count + 1
         if held:
             yield close(count)
+        trim()
 
-    found = ordered.mapInArrow(run, "part long, count long, path string, n_docs long, n_ids long").collect()
-    return [(r["path"], r["n_docs"], r["n_ids"]) for r in sorted(found, key=lambda r: (r["part"], r["count"]))]
+    return landed(ordered.mapInArrow(run, "part long, count long, path string, n_docs long, n_ids long"))
 
 
-def read_tokens(spark, files: list[tuple[str, int, int]]) -> DataFrame:
-    """doc_id, start, n_tokens, ids (binary, little-endian unsigned 32-bit) and ids_crc32 of every document of the files."""
-    starts = np.cumsum([0, *(n for _, _, n in files)]).tolist()
+def read_tokens(files: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens, ids (binary, little-endian unsigned 32-bit) and ids_crc32 of every document of the files of write_tokens().
+
+    Each file's first place comes from running sums over the table of files.
+    """
+    spark = files.sparkSession
     schema = "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long"
-    table = spark.createDataFrame([(f[0], s) for f, s in zip(files, starts, strict=False)], "path string, base long")
-    tasks = max(1, min(len(files), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    table = running(files.select("part", "count", "path", "n_ids"), [], F.col("part"), ["part", "count"], F.col("n_ids"), "upto")
+    table = table.select("path", (F.col("upto") - F.col("n_ids")).alias("base"))
 
     def run(stream):
         for rows in stream:
@@ -336,11 +340,10 @@ def read_tokens(spark, files: list[tuple[str, int, int]]) -> DataFrame:
                     }
                 )
 
-    return table.repartition(tasks).mapInArrow(run, schema)
+    return table.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(run, schema)
 
 
 def store_and_read(docs: DataFrame, vocab: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, read back from its files in the shared folder."""
-    spark = docs.sparkSession
-    files = write_tokens(docs, vocab, shared_dir(spark))
-    return read_tokens(spark, files).select("doc_id", "start", "n_tokens", "ids_crc32")
+    files = write_tokens(docs, vocab, shared_dir(docs.sparkSession))
+    return read_tokens(files).select("doc_id", "start", "n_tokens", "ids_crc32")
