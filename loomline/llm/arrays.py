@@ -109,16 +109,19 @@ def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: n
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[: len(data)] = data
     eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
-    left, at = np.flatnonzero((n > 0) & (others != np.arange(len(n)))), 0
-    while len(left):
-        one, two = eight[starts[left] + at], eight[starts[others[left]] + at]
-        if ((one ^ two) & _FIRST_BYTES[np.minimum(n[left] - at, 8)]).any():
-            return False
-        at += 8
-        left = left[n[left] > at]
-        if at == 4 * _LONG:
-            view = memoryview(padded)
-            return all(view[starts[k] : ends[k]] == view[starts[others[k]] : ends[others[k]]] for k in left.tolist())
+    for first in range(0, len(n), 1 << 18):
+        left, at = np.flatnonzero((n > 0)[first : first + (1 << 18)]) + first, 0
+        while len(left):
+            one, two = eight[starts[left] + at], eight[starts[others[left]] + at]
+            if ((one ^ two) & _FIRST_BYTES[np.minimum(n[left] - at, 8)]).any():
+                return False
+            at += 8
+            left = left[n[left] > at]
+            if at == 4 * _LONG:
+                view = memoryview(padded)
+                if not all(view[starts[k] : ends[k]] == view[starts[others[k]] : ends[others[k]]] for k in left.tolist()):
+                    return False
+                break
     return True
 
 
