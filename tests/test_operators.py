@@ -196,6 +196,21 @@ def test_coverage_order_is_greedy():
         assert S.coverage_order(keys, costs, features) == want
 
 
+def test_coverage_order_of_rows_alike():
+    # Rows of equal features gain alike and needn't be refreshed one by one.
+    r = random.Random(8)
+    n = 60000
+    keys, costs = [f"k{i:05d}" for i in range(n)], [int(r.lognormvariate(5.5, 1)) + 1 for _ in range(n)]
+    features = [{f"source:{i % 4}": 2.0, f"mode:{i % 7 == 0}": 5.0 if i % 7 == 0 else 1.0} for i in range(n)]
+    began = time.process_time()
+    order = S.coverage_order(keys, costs, features)
+    assert time.process_time() - began < 10
+    assert sorted(order) == list(range(n))
+    for source in range(4):
+        alike = [i for i in order if i % 4 == source and i % 7]
+        assert alike == sorted(sorted(alike, reverse=True), key=costs.__getitem__)
+
+
 def test_equal_selection(spark):
     r = random.Random(3)
     rows = [(s, f"{s}{i:03d}", r.randint(20, 90), {f"f{r.randint(0, 4)}": 2.0}) for s in "ab" for i in range(60)]
