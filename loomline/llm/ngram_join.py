@@ -38,6 +38,8 @@ VERIFY_COST = 16
 STARS = 2
 #: Lists of more sets are dealt out by size of sets.
 LONG_LIST = 4096
+#: How many pairs of lists are compared, and how many of them held, at a time.
+PAIRS = 1 << 19
 _BITS = ["b0", "b1", "b2", "b3"]
 #: Document frequencies are counted by the top 48 bits of a shingle's hash; a collision may make a prefix less rare, never wrong.
 _LOW_BITS = np.uint64(16)
@@ -266,14 +268,15 @@ def _across(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, shared, need) of pairs of sets of different classes that a list has, and that length and sketches allow to be similar.
 
     Rows of a pair give parts of the prefix shingles that it shares.  Lists are sorted
-    by size of sets and compared at every distance as long as sizes allow.  Those of
+    by size of sets, and each set meets those after it as long as sizes allow.  What the
+    256 bits let pass is counted and compared by sketches, PAIRS at a time.  Lists of
     more than LONG_LIST sets are dealt out by classes of size first, of which only
     neighbours can match: a set meets those of its own class and of the next higher one.
     """
     step = F.floor(F.log("n") / float(np.log(100 / percent)) + 1e-9).cast("int")
     own = F.array(F.struct(F.lit(-1).alias("step"), F.lit(True).alias("home")))
     both = F.array(F.struct(step.alias("step"), F.lit(True).alias("home")), F.struct((step + 1).alias("step"), F.lit(False).alias("home")))
-    rows = live.select("token", "sid", "label", "n", "need", F.explode(F.when(F.col("size") > LONG_LIST, both).otherwise(own)).alias("x")).select("*", "x.*").drop("x")
+    rows = live.select("token", *_SIDE, F.explode(F.when(F.col("size") > LONG_LIST, both).otherwise(own)).alias("x")).select("*", "x.*").drop("x")
     rows = rows.join(sets.select("sid", "sketch"), "sid")
 
     def run(stream):
@@ -298,31 +301,36 @@ def _across(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def pairs(table):
         token, kind, sid, label, n, need = (table[c].to_numpy() for c in ("token", "step", "sid", "label", "n", "need"))
+        bits = [table[c].to_numpy().view(np.uint64) for c in _BITS]
         home = table["home"].to_numpy(zero_copy_only=False)
         codes, where = np.unique(sid, return_index=True)
-        number, found, at = np.searchsorted(codes, sid), [np.zeros((3, 0), np.int64)], np.arange(len(token))
-        for d in range(1, len(token)):
-            at = at[at + d < len(token)]
-            at = at[(token[at] == token[at + d]) & (kind[at] == kind[at + d]) & (n[at] * 100 >= n[at + d] * percent)]
-            if not len(at):
-                break
-            ok = at[(label[at] != label[at + d]) & (home[at] | home[at + d])]
-            one, two = np.minimum(number[ok], number[ok + d]), np.maximum(number[ok], number[ok + d])
-            both, count = np.unique(one * len(codes) + two, return_counts=True)
-            found.append(np.stack([*np.divmod(both, len(codes)), count]))
-            if sum(f.shape[1] for f in found) > 1 << 20:
-                found = [summed(found, len(codes))]
-        a, b, shared = summed(found, len(codes))
-        sketches = table["sketch"].take(pa.array(where)).to_pylist()
-        size, least = n[where], need[where]
-        ok = differing(a, b, sketches) * (100 + percent) <= (size[a] + size[b]) * (100 - percent)
-        a, b, shared = a[ok], b[ok], shared[ok]
-        yield pa.RecordBatch.from_arrays([pa.array(codes[a]), pa.array(codes[b]), pa.array(shared), pa.array(np.minimum(least[a], least[b]).astype(np.int32))], names=["a", "b", "shared", "need"])
-
-    def summed(found, scale):
-        a, b, count = np.concatenate(found, axis=1)
-        both, place = np.unique(a * scale + b, return_inverse=True)
-        return np.stack([*np.divmod(both, scale), np.bincount(place, count, len(both)).astype(np.int64)])
+        number, sketches, size, least = np.searchsorted(codes, sid), table["sketch"].take(pa.array(where)).to_pylist(), n[where], need[where]
+        # A row meets those after it in its list as long as sizes allow, some hundred thousand pairs at a time.
+        which, scale = np.cumsum(np.r_[False, (token[1:] != token[:-1]) | (kind[1:] != kind[:-1])]), int(n.max()) * 100 + 1
+        count = np.searchsorted(which * scale + n * percent, which * scale + n * 100, "right") - np.arange(len(n)) - 1
+        upto, done, found, held = np.cumsum(count), 0, [], 0
+        while done < len(n):
+            past = int(upto[done - 1]) if done else 0
+            stop = max(done + 1, int(np.searchsorted(upto, past + PAIRS, "right")))
+            l = np.repeat(np.arange(done, stop), count[done:stop])  # noqa: E741
+            r = l + 1 + np.arange(len(l)) - (upto[l] - count[l] - past)
+            done = stop
+            ok = (label[l] != label[r]) & (home[l] | home[r])
+            l, r = l[ok], r[ok]  # noqa: E741
+            differ, most = np.zeros(len(l), np.int64), (n[l] + n[r]) * (100 - percent) // (100 + percent)
+            for b in bits:
+                differ += np.bitwise_count(b[l] ^ b[r])
+                ok = differ <= most
+                l, r, differ, most = l[ok], r[ok], differ[ok], most[ok]  # noqa: E741
+            found.append(np.minimum(number[l], number[r]) * len(codes) + np.maximum(number[l], number[r]))
+            held += len(l)
+            if held < PAIRS and done < len(n):
+                continue
+            both, shared = np.unique(np.concatenate(found), return_counts=True)
+            a, b = np.divmod(both, len(codes))
+            ok = differing(a, b, sketches) * (100 + percent) <= (size[a] + size[b]) * (100 - percent)
+            a, b, shared, found, held = a[ok], b[ok], shared[ok], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(codes[a]), pa.array(codes[b]), pa.array(shared), pa.array(np.minimum(least[a], least[b]).astype(np.int32))], names=["a", "b", "shared", "need"])
 
     parts = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, "token", "step").sortWithinPartitions("token", "step", "n", "sid", "home").mapInArrow(run, "a long, b long, shared long, need int")
@@ -340,7 +348,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     some = every.where(F.size("tokens") > 0).groupBy("set_key").agg(*(F.first(c).alias(c) for c in (*whole, "tokens", "body", "sketch")))
     sets = landed(some.withColumn("sid", F.monotonically_increasing_id()))
 
-    lists = sets.select("sid", *whole, F.explode("tokens").alias("token"))
+    # The set nearest to one of n shingles has one more, so the smallest sets are only similar to equal ones.
+    lists = sets.where(F.col("n") * 100 >= (F.col("n") + 1) * percent).select("sid", *whole, F.explode("tokens").alias("token"))
     shared = landed(lists.groupBy("token").agg(F.count("*").alias("size")).where("size > 1").select("token"))
     live = landed(lists.join(shared, "token", "left_semi")).withColumn("label", F.col("sid"))
     links, labels = None, None

@@ -2,7 +2,9 @@
 
 import math
 import random
+import time
 
+import numpy as np
 import pytest
 
 import brute
@@ -164,6 +166,32 @@ def test_long_lists_are_dealt_out_by_size(spark, monkeypatch):
     same(rows(ngram_join.classes(spark.createDataFrame(docs, "doc_id long, text string")), "doc_id", "n_shingles", "component_id"), brute_joins.op10(docs))
 
 
+def test_a_list_of_many_classes(spark):
+    # 1.6 million pairs of different classes in one list, of which 30 may be similar.
+    r, n, sets = np.random.default_rng(6), 1800, []
+    for i in range(n):
+        if 0 < i <= 30:
+            sets.append((i, *sets[0][1:]))
+            continue
+        members = r.integers(0, 1 << 64, 40, np.uint64)
+        bits = [int(b[0]) for b in ngram_join.parities(np.sort(members), np.arange(40), np.array([0, 40]))]
+        sets.append((i, 40, 1, *bits, bytearray(ngram_join.sketch(members))))
+    sets = spark.createDataFrame(sets, "sid long, n long, need int, b0 long, b1 long, b2 long, b3 long, sketch binary")
+    live = sets.selectExpr("7L AS token", "*", "sid AS label", f"{n}L AS size").drop("sketch")
+    began = time.time()
+    got = ngram_join._across(live, sets, 85).collect()
+    assert time.time() - began < 30
+    assert sorted((p["a"], p["b"], p["shared"]) for p in got) == [(a, b, 1) for a in range(31) for b in range(a + 1, 31)]
+
+
+def test_smallest_sets_match_equal_ones_only(spark):
+    # Of n shingles and n + 1 in all 100 n are at least 85 (n + 1) from n = 6 on.
+    texts = {k: [" ".join(f"x{k}w{i}" for i in range(k + 3 + more)) for more in (0, 0, 1)] for k in range(1, 10)}
+    docs = spark.createDataFrame([(10 * k + i, t) for k, some in texts.items() for i, t in enumerate(some)], "doc_id long, text string")
+    got = {p["doc_id"]: p["component_id"] for p in ngram_join.classes(docs).collect()}
+    assert got == {10 * k + i: 10 * k + (2 if i == 2 and k < 6 else 0) for k in texts for i in range(3)}
+
+
 def test_sketches_bound_differences():
     import numpy as np
 
