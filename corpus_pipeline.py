@@ -1,6 +1,7 @@
 """A corpus pipeline over documents: quality rules, line dedup, near duplicates, decontamination, token ids.
 
-Each stage is a function of (spark, docs, sf_dir) on all that the one before kept.
+Each stage is a function of (spark, docs, sf_dir) on all that the one before kept.  Line
+dedup and near duplicates write what they found and delete their intermediate tables.
 run() writes every stage's result to the shared folder and reads it again, so a stage
 has no lineage beyond its input and a lost executor repeats little; then it deletes what
 the stage left there besides.
@@ -12,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomline.llm import bpe, decontam, line_dedup, ngram_join, quality
-from loomline.llm.exchange import scratch, shared_dir
+from loomline.llm.exchange import landed, scratch, shared_dir
 
 
 _USED = ("doc_id", "text", "source")
@@ -35,17 +36,21 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     n_chars, if there is one, is counted anew.
     """
-    left = line_dedup.dedup(docs).where(F.col("text").rlike("[^ \\t-\\r]"))
-    if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return left.select(*docs.columns)
+    path = shared_dir(spark)
+    with scratch(spark):
+        left = line_dedup.dedup(docs).where(F.col("text").rlike("[^ \\t-\\r]"))
+        if "n_chars" in docs.columns:
+            left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        return landed(left.select(*docs.columns), path)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class of near duplicates; rows that repeat an id and its text are one."""
     safe, columns = _apart(docs)
-    first = ngram_join.classes(safe).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = first.select(F.col("doc_id").alias("__first__")).distinct()
+    path = shared_dir(spark)
+    with scratch(spark):
+        first = ngram_join.classes(safe).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        first = landed(first.select(F.col("doc_id").alias("__first__")).distinct(), path)
     kept = safe.join(first, F.col("doc_id").eqNullSafe(F.col("__first__")), "left_semi")
     text = F.xxhash64("text")
     if not safe.groupBy("doc_id", text.alias("t")).count().where("count > 1").isEmpty():
@@ -83,7 +88,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _, stage in STAGES:
         path = shared_dir(spark)
         with scratch(spark):
-            made = stage(spark, docs, sf_dir)
-            made.write.option("compression", "zstd").parquet(path)
-        docs = spark.read.schema(made.schema).parquet(path)
+            docs = landed(stage(spark, docs, sf_dir), path)
     return docs

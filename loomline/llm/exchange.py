@@ -80,10 +80,23 @@ def scratch(spark: SparkSession):
         del _made[first:]
 
 
-def landed(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: what follows has no lineage and doesn't recompute it."""
-    path = shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+@contextmanager
+def tidy(spark: SparkSession):
+    """What is written within leaves no shuffle files: they go when it's written, not when the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before or "false")
+
+
+def landed(df: DataFrame, path: str | None = None) -> DataFrame:
+    """df written to a folder, by default a new shared one, and read again: what follows has no lineage and doesn't recompute it."""
+    path = path or shared_dir(df.sparkSession)
+    with tidy(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,11 +1,17 @@
 """The pipeline against its plain Python version, and on a table of copies."""
 
+import os
+import time
+from urllib.parse import urlparse
+
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("corpus_pipeline")
 
 import brute_joins  # noqa: E402
 import corpus_pipeline  # noqa: E402
+from loomline.llm.exchange import landed, shared_dir  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,3 +56,23 @@ def test_empty_and_awkward_tables(spark, tmp_path):
     clean = " ".join(f"w{i}" for i in range(60))
     spark.createDataFrame([*odd, (7, clean, "en", "s", 9)], schema).write.parquet(f"{folder}/documents.parquet")
     assert [r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()] == [7]
+
+
+def test_stages_leave_their_results_only(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    root = urlparse(shared_dir(spark)).path.rsplit("/", 1)[0]
+    for stage in (corpus_pipeline.dedup_lines, corpus_pipeline.one_of_each):
+        before = set(os.listdir(root))
+        stage(spark, docs, "")
+        assert len(set(os.listdir(root)) - before) == 1
+
+
+def test_landed_tables_leave_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    rows = spark.range(2000).repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    before, until = files(), time.time() + 20
+    landed(rows)
+    while (left := [f for f in files() - before if f.endswith(".data")]) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
