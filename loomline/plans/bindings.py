@@ -73,8 +73,12 @@ lab AS (
 
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents as traces: trace_id, task_key, source, lang, cost, recovery (0 or 1), reward, text."""
+    """Labelled documents as traces: trace_id, task_key, source, lang, cost, recovery (0 or 1), reward, text, signature (the text's SHA-256).
+
+    Signatures are made below the join, so what only tells texts apart shuffles none.
+    """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs = docs.withColumn("signature", F.unhex(F.sha2("text", 256)))
     return docs.join(labels, "doc_id").select(
         F.format_string("d%09d", "doc_id").alias("trace_id"),
         F.concat(F.lit("task:"), (F.col("doc_id") % 97).cast("string")).alias("task_key"),
@@ -84,6 +88,7 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("toxic").alias("recovery"),
         F.col("quality").alias("reward"),
         "text",
+        "signature",
     )
 
 

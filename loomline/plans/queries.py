@@ -247,7 +247,8 @@ def append_log(spark, sf_dir):
 
 
 def _deduped(spark, d):
-    return M.first_of_each(traces(spark, d).where("reward = 1"), ["text"], ["task_key", "source", "trace_id"])
+    """The first successful trace of each text, without the text."""
+    return M.first_of_each(traces(spark, d).where("reward = 1").drop("text"), ["signature"], ["task_key", "source", "trace_id"])
 
 
 def _split(spark, d):
@@ -343,7 +344,7 @@ arm_b AS (SELECT lang, trace_id, 1 AS phase FROM lead UNION ALL SELECT lang, tra
 
 
 def _arm(spark, d, arm):
-    pool = cut(_pool(spark, d).drop("text"))
+    pool = cut(_pool(spark, d))
     budgets = cut(_budgets(pool))
     if arm == "random":
         return S.greedy_fill(pool.withColumn("o", S.hash_order(F.col("trace_id"), "random")), ["o", "trace_id"], "cost", budgets, "lang").drop("o")

@@ -67,3 +67,16 @@ except ModuleNotFoundError:
 """
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", code], check=True, cwd=root)
+
+
+def test_pool_shuffles_no_texts(spark, duck, tmp_path):
+    texts = [None, None, "", "", "a", "a ", "A", "a", "é", "é", "é", "line\n" * 400, "line\n" * 400, "line\n" * 399]
+    docs = [(i, t, "en", f"s{i % 3}", None if t is None else len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i != 4), i % 2) for i in range(len(texts))], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for made in (Q._sources(spark, tmp_path), Q.QUERIES["success_dedup_global"](spark, tmp_path)):
+        for line in made._jdf.queryExecution().executedPlan().toString().split("\n"):
+            assert not ("SortMergeJoin" in line or "Aggregate" in line or "Exchange" in line) or "text#" not in line, line
+    got = {tuple(r) for r in Q.QUERIES["success_dedup_global"](spark, tmp_path).collect()}
+    sql = Q.ORACLE_SQL["success_dedup_global"].replace("FROM documents d JOIN labels l", f"FROM '{tmp_path}/documents.parquet/*.parquet' d JOIN '{tmp_path}/labels.parquet/*.parquet' l")
+    assert got == set(duck.execute(sql).fetchall()) and len(got) == 9
