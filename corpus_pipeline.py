@@ -46,16 +46,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class of near duplicates; rows that repeat an id and its text are one."""
-    safe, columns = _apart(docs)
     path = shared_dir(spark)
     with scratch(spark):
-        first = ngram_join.classes(safe).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        first = landed(first.select(F.col("doc_id").alias("__first__")).distinct(), path)
-    kept = safe.join(first, F.col("doc_id").eqNullSafe(F.col("__first__")), "left_semi")
-    text = F.xxhash64("text")
-    if not safe.groupBy("doc_id", text.alias("t")).count().where("count > 1").isEmpty():
-        kept = kept.withColumn("__text__", text).dropDuplicates(["doc_id", "__text__"])
-    return kept.select(*columns)
+        return landed(ngram_join.firsts(docs), path)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

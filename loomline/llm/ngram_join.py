@@ -22,6 +22,8 @@ Shingles and their words are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -29,7 +31,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .arrays import LOWER, SPACE_WORD, blocks, distinct, mix, narrow, pack, ranked, sorted_set, span_hashes, spans, text_buffers, unpack, windows
 from .decontam import windows_at
-from .exchange import exchange, finish, joined, landed
+from .exchange import ADDRESS, addressed, exchange, from_bytes, gathered, input_bytes, joined, landed, stable, tasks
+from .files import fetch
 
 GRAM, PERCENT, MAX_NEED = 4, 85, 4
 #: What verifying a pair costs, in entries of a shingle's list.
@@ -41,6 +44,7 @@ LONG_LIST = 4096
 #: How many pairs of lists are compared, and how many of them held, at a time.
 PAIRS = 1 << 19
 _BITS = ["b0", "b1", "b2", "b3"]
+_PLACED = ["batch", "place", "address", "digest"]
 #: Document frequencies are counted by the top 48 bits of a shingle's hash; a collision may make a prefix less rare, never wrong.
 _LOW_BITS = np.uint64(16)
 
@@ -157,16 +161,20 @@ def prefixes(first: np.ndarray, df: np.ndarray, percent: int) -> tuple[np.ndarra
     return np.where(n > 0, length, 0), need
 
 
-def profiles(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
-    """doc_id, n, set_key, need, center (how frequent its shingles are), parity bits, tokens (prefix shingles of several documents) and, where there are some, the packed text."""
+def profiles(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, placed: bool = False) -> DataFrame:
+    """doc_id, n, set_key, need, center (how frequent its shingles are), parity bits, tokens (prefix shingles of several documents) and, where there are some, the packed text.
+
+    placed: also each row's batch and place in it, at place 0 the batch's address, and a
+    digest of the text; the batches then have all columns of docs.
+    """
 
     def ask(rows):
-        keys, place, _ = shingle_sets(rows["text"], k)
+        keys, place, _ = shingle_sets(rows[text], k)
         asked, to = _frequencies(keys)
         return asked, count_entries(asked, np.bincount(to[place], minlength=len(asked)))
 
-    def compute(rows, replies):
-        keys, place, first = shingle_sets(rows["text"], k)
+    def compute(batch, address, rows, replies):
+        keys, place, first = shingle_sets(rows[text], k)
         asked, to = _frequencies(keys)
         totals = np.concatenate([np.zeros(0, np.int64), *(unpack(x)[0] for x in replies)]).astype(np.int64)
         if len(totals) != len(asked):
@@ -181,17 +189,23 @@ def profiles(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> D
         ends = np.r_[0, np.cumsum(use)][first]
         some = np.flatnonzero(np.diff(ends))
         bodies, sketches, packer = [None] * len(n), [None] * len(n), zstandard.ZstdCompressor(level=3)
-        for i, t in zip(some.tolist(), rows["text"].take(pa.array(some)).to_pylist(), strict=True):
+        for i, t in zip(some.tolist(), rows[text].take(pa.array(some)).to_pylist(), strict=True):
             bodies[i], sketches[i] = packer.compress(t.encode()), sketch(keys[place[first[i] : first[i + 1]]])
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens[use].view(np.int64)))
+        where = []
+        if placed:
+            digests = [None if t is None else hashlib.blake2b(t, digest_size=16).digest() for t in rows[text].cast(pa.binary()).to_pylist()]
+            where = [pa.array(np.full(len(n), batch)), pa.array(np.arange(len(n)), pa.int32()), pa.array([address, *[None] * (len(n) - 1)], pa.binary()), pa.array(digests, pa.binary())]
         yield pa.RecordBatch.from_arrays(
-            [rows["doc_id"], pa.array(n), pa.array(set_keys(keys, place, first), pa.binary()), pa.array(need, pa.int32()), pa.array(center), *map(pa.array, parities(keys, place, first)), lists, pa.array(bodies, pa.binary()), pa.array(sketches, pa.binary())],
-            names=["doc_id", "n", "set_key", "need", "center", *_BITS, "tokens", "body", "sketch"],
+            [rows[doc_id], pa.array(n), pa.array(set_keys(keys, place, first), pa.binary()), pa.array(need, pa.int32()), pa.array(center), *map(pa.array, parities(keys, place, first)), lists, pa.array(bodies, pa.binary()), pa.array(sketches, pa.binary()), *where],
+            names=["doc_id", "n", "set_key", "need", "center", *_BITS, "tokens", "body", "sketch", *_PLACED[: len(where)]],
         )
 
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    schema = T.StructType([slim.schema["doc_id"], *T.StructType.fromDDL("n long, set_key binary, need int, center int, b0 long, b1 long, b2 long, b3 long, tokens array<long>, body binary, sketch binary").fields])
-    return finish(*exchange(slim, "text", ask, add_counts), compute, schema)
+    asked = docs if placed else docs.select(doc_id, text)
+    own = T.StructType.fromDDL("n long, set_key binary, need int, center int, b0 long, b1 long, b2 long, b3 long, tokens array<long>, body binary, sketch binary").fields
+    more = T.StructType.fromDDL("batch long, place int, address binary, digest binary").fields if placed else []
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), *own, *more])
+    return addressed(*exchange(asked, text, ask, add_counts), compute, schema)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
@@ -343,7 +357,34 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     text without words, or null, links with nothing and is its own class.  Repeated
     rows get a row each; a null id is never the smallest unless its class has no other.
     """
-    every = landed(profiles(docs, doc_id, text, k, percent))
+    return _classed(landed(profiles(docs, doc_id, text, k, percent)), k, percent)
+
+
+def firsts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = GRAM, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs whose id is the smallest of a class, as classes() has them; rows that repeat an id and its text are one.
+
+    Texts aren't shuffled: a batch reads its rows again and gives those kept of them.
+    """
+    docs = stable(docs)
+    every = landed(profiles(docs, doc_id, text, k, percent, placed=True))
+    rows = landed(_classed(every, k, percent, ["batch", "place", "digest"]))
+    least = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("least")).distinct()
+    kept = rows.join(least, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
+    kept = kept.groupBy("doc_id", "digest").agg(F.min(F.struct("batch", "place")).alias("at")).select("at.batch", "at.place", F.lit(b"").alias("payload"))
+    routes = every.where("address IS NOT NULL").select("batch", F.lit(ADDRESS).alias("place"), F.col("address").alias("payload")).unionByName(kept)
+
+    def give(batch, held):
+        if held[0][1] != ADDRESS or len(held) > 1 and held[1][1] == ADDRESS:
+            raise RuntimeError("a batch has no address, or several")
+        if len(held) > 1:
+            yield from_bytes(fetch(held[0][2])).take(pa.array([place for _, place, _ in held[1:]]))
+
+    routes = routes.select(F.col("batch").alias("target"), "batch", F.col("place").alias("part"), "payload")
+    return gathered(routes, tasks(docs.sparkSession, input_bytes(docs)), give, docs.schema)
+
+
+def _classed(every: DataFrame, k: int, percent: int, besides: list[str] = []) -> DataFrame:  # noqa: B006
+    """What classes() returns, and columns besides, of the rows of profiles(), which are written."""
     whole = ["n", "need", "center", *_BITS]
     some = every.where(F.size("tokens") > 0).groupBy("set_key").agg(*(F.first(c).alias(c) for c in (*whole, "tokens", "body", "sketch")))
     sets = landed(some.withColumn("sid", F.monotonically_increasing_id()))
@@ -369,7 +410,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
         labels = components(links.union(more))
 
     member = landed(sets.select("set_key", "sid").join(labels, "sid", "left").select("set_key", F.coalesce("label", "sid").alias("class")))
-    rows = landed(every.select("doc_id", "n", "set_key").join(member, "set_key", "left"))
+    rows = landed(every.select("doc_id", "n", "set_key", *besides).join(member, "set_key", "left"))
     least = landed(rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least")))
     out = rows.join(least, "class", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), *besides)

@@ -76,3 +76,18 @@ def test_landed_tables_leave_no_shuffle_files(spark):
     while (left := [f for f in files() - before if f.endswith(".data")]) and time.time() < until:
         time.sleep(0.2)
     assert not left
+
+
+def test_one_of_each_shuffles_no_texts(spark):
+    key, text = "spark.sql.autoBroadcastJoinThreshold", " ".join(f"w{i}" for i in range(60))
+    docs = [(7, text, "a"), (3, text, "b"), (3, text, "c"), (3, "another " + text[::-1], "d"), (None, text + " more", "e"), (9, None, "f"), (9, None, "g"), (8, "", "h")]
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        out = corpus_pipeline.one_of_each(spark, spark.createDataFrame(docs, "doc_id long, text string, batch string"), SF)
+    finally:
+        spark.conf.set(key, before)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    got = [tuple(r) for r in out.collect()]
+    assert sorted(x[:2] for x in got if x[1]) == sorted([(3, text), (3, "another " + text[::-1])])
+    assert sorted(x[0] for x in got if not x[1]) == [8, 9] and {x[2] for x in got} <= set("bcdfgh")
